@@ -173,8 +173,8 @@ def search(index: DataFrame, phrases: Phrases) -> DataFrame:
                 hits: list[list[dict]] = [[] for _ in n]
                 items: list[list[str]] = [[] for _ in n]
                 end = np.maximum.accumulate(start + phrases.lengths[which]) if len(start) else start
-                new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if len(start) else []
-                for a, b in zip(new, [*new[1:], len(start)], strict=True):
+                new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if len(start) else start
+                for a, b in zip(new, np.append(new[1:], len(start)), strict=False):
                     hits[doc[a]].append({"start": int(start[a] - firsts[doc[a]]), "end": int(end[b - 1] - firsts[doc[a]])})
                 pairs = np.unique(doc * (len(phrases.lengths) + 1) + which)
                 for d, w in zip(*np.divmod(pairs, len(phrases.lengths) + 1), strict=True):
