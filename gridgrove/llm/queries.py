@@ -1,10 +1,12 @@
 """The operators' queries over the driver tables, and SQL for those that SQL can express."""
 
-from gridgrove.llm import decontaminate, mixing
+from gridgrove.llm import decontaminate, language, mixing, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op6_language": language.op6_language,
 }
 
 SQL = {

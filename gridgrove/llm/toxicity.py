@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from gridgrove.llm.common import fold, pieces, read
 
 BITS = 20
-MAX_TRAIN = 6000  # labelled documents that the weights are fitted on, chosen by hash of their id
-EPOCHS = 4
+MAX_TRAIN = 10_000  # labelled documents that the weights are fitted on, chosen by hash of their id
+EPOCHS = 6
+MIN_DOCS = 8  # training documents that a feature must occur in to be learned
 THRESHOLD = 0.7
 STEMS = (4, 5)  # lengths of word beginnings, which stand for words that training has not seen
 
@@ -40,8 +41,8 @@ class Features:
         self.known[word] = k = len(self.rows) - 1
         return k
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(document, feature) pairs, each once, in order."""
+    def of(self, texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(document, feature) pairs, each once, in order; only features that are wanted, where that is given."""
         found = [_WORD.findall(t.lower()) if t else [] for t in texts]
         if len(self.known) + sum(map(len, found)) > self.most:
             self.known.clear()
@@ -51,11 +52,20 @@ class Features:
             return ids, ids
         doc = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(f) for f in found])
         h = np.array(self.rows, np.uint64)[ids]
-        out = [doc << np.uint64(32) | (h[:, k] & self.mask) for k in range(h.shape[1])]
+        out = []
+
+        def add(doc: np.ndarray, feature: np.ndarray) -> None:
+            if wanted is not None:
+                kept = wanted[feature.view(np.int64)]
+                doc, feature = doc[kept], feature[kept]
+            out.append(doc << np.uint64(32) | feature)
+
+        for k in range(h.shape[1]):
+            add(doc, h[:, k] & self.mask)
         for gap, odd in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
             pair = h[:-gap, 0] * np.uint64(odd) + (h[gap:, 0] ^ np.uint64(gap)) * np.uint64(0x9E3779B97F4A7C15)
             same = doc[:-gap] == doc[gap:]
-            out.append((doc[:-gap] << np.uint64(32) | (pair >> np.uint64(40)) & self.mask)[same])
+            add(doc[:-gap][same], (pair >> np.uint64(40) & self.mask)[same])
         both = np.unique(np.concatenate(out))
         return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
@@ -63,7 +73,7 @@ class Features:
 class Ftrl:
     """FTRL-proximal logistic regression: each coordinate has its own rate, and L1 keeps weights at 0."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -80,13 +90,17 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(texts: list[str | None], labels: list[int], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def fit(texts: list[str | None], labels: list[int], bits: int = BITS, epochs: int = EPOCHS, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """(feature, weight) of the coordinates that L1 leaves; the last feature, 1 << bits, is the intercept."""
     features, model, docs = Features(bits), Ftrl(bits), []
     for at in range(0, len(texts), 200):
         doc, feature = features.of(texts[at : at + 200])
         cut = np.searchsorted(doc, np.arange(len(texts[at : at + 200]) + 1))
         docs += [np.append(feature[a:b], 1 << bits).astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    seen = np.zeros((1 << bits) + 1, np.int64)
+    for d in docs:
+        seen[d] += 1
+    docs = [d[(seen[d] >= min_docs) | (d == 1 << bits)] for d in docs]
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(docs)):
             model.learn(docs[k], labels[k])
@@ -132,8 +146,9 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, features = sent.value, Features(bits)
+        wanted = w != 0
         for b in pieces(batches, text, 1 << 20):
-            doc, feature = features.of(b.column(text).to_pylist())
+            doc, feature = features.of(b.column(text).to_pylist(), wanted)
             sums = np.bincount(doc, w[feature], b.num_rows) + w[-1]
             p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, name])
