@@ -1,15 +1,17 @@
 """The operators' queries over the driver tables, and SQL for those that SQL can express."""
 
-from gridgrove.llm import decontaminate, language, mixing, toxicity
+from gridgrove.llm import decontaminate, jaccard, language, mixing, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op6_language": language.op6_language,
+    "op7_jaccard": jaccard.op7_jaccard,
 }
 
 SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op4_mixing": mixing.SQL.format(docs="documents"),
+    "op7_jaccard": jaccard.SQL,
 }
