@@ -1,6 +1,6 @@
 """The operators' queries over the driver tables, and SQL for those that SQL can express."""
 
-from gridgrove.llm import decontaminate, jaccard, language, mixing, toxicity
+from gridgrove.llm import decontaminate, jaccard, language, mixing, neighbours, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -8,10 +8,12 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_language": language.op6_language,
     "op7_jaccard": jaccard.op7_jaccard,
+    "op8_neighbours": neighbours.op8_neighbours,
 }
 
 SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op4_mixing": mixing.SQL.format(docs="documents"),
     "op7_jaccard": jaccard.SQL,
+    "op8_neighbours": neighbours.SQL,
 }
