@@ -1,6 +1,6 @@
 """The operators' queries over the driver tables, and SQL for those that SQL can express."""
 
-from gridgrove.llm import decontaminate, jaccard, language, mixing, neighbours, toxicity
+from gridgrove.llm import decontaminate, jaccard, language, mixing, neighbours, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_language": language.op6_language,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_neighbours": neighbours.op8_neighbours,
+    "op9_secrets": secrets.op9_secrets,
 }
 
 SQL = {
@@ -16,4 +17,5 @@ SQL = {
     "op4_mixing": mixing.SQL.format(docs="documents"),
     "op7_jaccard": jaccard.SQL,
     "op8_neighbours": neighbours.SQL,
+    "op9_secrets": secrets.SQL,
 }
