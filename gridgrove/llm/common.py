@@ -142,20 +142,19 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Alternates linking every larger neighbour to a node's smallest one and every smaller neighbour
     likewise, until nothing changes; a hub's edges are never gathered in one row.
     """
-    pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
-    pairs = checkpoint(pairs)
-    while True:
+    pairs = checkpoint(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct())
+    was = signature(pairs)
+    while was[0]:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        then = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        then = checkpoint(then.where("u <> v").distinct())
-        was, now = signature(pairs), signature(then)
-        pairs = then
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.join(least, "u").where("v >= u or v = m").select(F.greatest("u", "v").alias("u"), "m").where("u > m").distinct()
+        least = large.groupBy("u").agg(F.min("m").alias("t"))
+        then = large.join(least, "u").select(F.when(F.col("m") == F.col("t"), F.col("u")).otherwise(F.col("m")).alias("u"), F.col("t").alias("v"))
+        pairs = checkpoint(then.where("u <> v").distinct())
+        now = signature(pairs)
         if was == now:
             break
+        was = now
     ends = pairs.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ends)
 

@@ -39,93 +39,104 @@ def seed(n: int) -> np.uint64:
     return np.uint64(n * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
 
 
-def shingles(text: str | None, ids: WordIds, n: int = WORDS) -> np.ndarray:
-    """Distinct hashed shingles of a text, in order; that of all words where there are fewer than n."""
-    h = ids.of(space_words(text))
-    if not len(h):
-        return h
-    n = min(n, len(h))
-    out = np.full(len(h) - n + 1, seed(n))
+def sets(texts: list[str | None], ids: WordIds, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, hash) of the distinct hashed shingles of texts, in order; a text of fewer than n words has one, of all of them."""
+    found = [space_words(t) for t in texts]
+    size = np.array([len(f) for f in found], np.int64)
+    h = ids.of([w for f in found for w in f])
+    doc = np.repeat(np.arange(len(texts)), size)
+    rank = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    length = np.minimum(n, size)[doc]
+    first = rank <= size[doc] - length
+    out = length.astype(np.uint64) * seed(1)
     for k in range(n):
-        out = mix64(out ^ h[k : len(h) - n + 1 + k]) + np.uint64(k)
-    return np.unique(out)
+        word = np.zeros(len(h), np.uint64)
+        word[: len(h) - k] = h[k:] if k else h
+        out += np.where(k < length, mix64(word + seed(k + 2)) * (seed(3 * k + 5) | np.uint64(1)), np.uint64(0))
+    doc, out = doc[first], mix64(out[first])
+    order = np.lexsort((out, doc))
+    doc, out = doc[order], out[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], out[new]
+
+
+def split(doc: np.ndarray, h: np.ndarray, count: int) -> list[np.ndarray]:
+    return np.split(h, np.searchsorted(doc, np.arange(1, count))) if count else []
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> tuple[bool, float]:
     """Whether two sorted sets are as similar as asked for, and their Jaccard distance."""
     both = np.concatenate([a, b])
-    both.sort(kind="stable")
+    both.sort()
     common = int((both[1:] == both[:-1]).sum())
     union = len(both) - common
-    return 100 * common >= percent * union, 1 - common / union if union else 0.0
+    return 100 * common >= percent * union and union > 0, 1 - common / union if union else 0.0
+
 
+def size_band(n: np.ndarray) -> np.ndarray:
+    """The band of sets of n shingles: 0 up to SINGLE, and then that of the next power of two."""
+    return np.where(n <= SINGLE, 0, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
-    if not len(s):
-        return 0, 0
-    x = mix64(s ^ _SEED)
-    return int(np.bitwise_xor.reduce(x).view(np.int64)), int(np.add.reduce(mix64(x + np.uint64(1))).view(np.int64))
 
+def parts_of(band: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The number of a band's parts: the most shingles that may differ in the middle of the band, over 0.46."""
+    least = (100 - percent) / (100 + percent)  # of the sum of sizes
+    return np.maximum(SKETCH, np.round(2 * 0.75 * np.exp2(band) * least / 0.46)).astype(np.uint64)
 
-def bands(n: int, percent: int = PERCENT) -> list[int]:
-    """Size bands in which a set of n shingles meets similar sets; a pair's band is that of its larger set."""
-    most = 100 * n // percent
-    return sorted({0 if m <= SINGLE else int(m - 1).bit_length() for m in (n, most)} | ({int(SINGLE).bit_length()} if n <= SINGLE < most else set()))
 
+def sketch_keys(doc: np.ndarray, h: np.ndarray, count: int, percent: int = PERCENT) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For a set's own band and that of the largest similar set, if it is another: (band of each doc or -1, doc, key).
 
-def sketch_keys(s: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
-    """(band, join keys) of a set: for each of its bands the parts of its sketch that are compared and aren't empty."""
+    Keys are the XORs of the sketch's compared parts that aren't empty, in the order of doc.
+    """
+    n = np.bincount(doc, minlength=count)
+    own, next_band = size_band(n), size_band(100 * n // percent)
     out = []
-    for band in bands(len(s), percent):
-        if band == 0:
-            out.append((0, mix64(s ^ np.uint64(1))))
-            continue
-        size = 3 * (1 << band) // 4  # the middle of the band
-        least = (100 - percent) / (100 + percent)  # of the sum of sizes, that may differ
-        parts = max(SKETCH, round(2 * size * least / 0.46))
-        h = mix64(s + np.uint64(band))
-        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        kept = part < SKETCH
-        part, h = part[kept].astype(np.int64), mix64(h[kept])
-        order = np.argsort(part, kind="stable")
-        part, h = part[order], h[order]
-        if len(part):
-            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            out.append((band, mix64(np.bitwise_xor.reduceat(h, at) + seed(band) + part[at].astype(np.uint64))))
+    for band in (np.where(n > 0, own, -1), np.where((n > 0) & (next_band != own), next_band, -1)):
+        b = band[doc]
+        single = b == 0
+        x = mix64(h + b.astype(np.uint64))
+        part = (x >> np.uint64(32)) * parts_of(np.maximum(b, 0), percent) >> np.uint64(32)
+        kept = (b > 0) & (part < SKETCH)
+        group = doc[kept] * SKETCH + part[kept].astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        group, x = group[order], mix64(x[kept])[order]
+        at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
+        keys = mix64((np.bitwise_xor.reduceat(x, at) if len(at) else x) + (group[at] % SKETCH).astype(np.uint64) * seed(7) + band[group[at] // SKETCH].astype(np.uint64))
+        owner = np.concatenate([doc[single], group[at] // SKETCH])
+        keys = np.concatenate([mix64(h[single] ^ np.uint64(1)), keys])
+        order = np.argsort(owner, kind="stable")
+        out.append((band, owner[order], keys[order]))
     return out
 
 
 def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2) of each row: the size and the fingerprint of its set."""
+    """(id, n, f1, f2, band, keys, band2, keys2) of each row: its set's size and fingerprint, and the keys of its bands; band2 is -1 for none."""
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
-        for b in pieces(batches, "text", 1 << 20):
-            sets = [shingles(t, ids, n) for t in b.column("text").to_pylist()]
-            prints = [fingerprint(s) for s in sets]
-            columns = [[len(s) for s in sets], [f for f, _ in prints], [f for _, f in prints]]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x, pa.int64()) for x in columns)], ["id", "n", "f1", "f2"])
-
-    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint")
-
-
-def keyed(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """(id, n, band, keys) of each row and each of its bands."""
-    docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
+    def lists(owner: np.ndarray, keys: np.ndarray, count: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(count + 1)), pa.int32()), pa.array(keys.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for b in pieces(batches, "text", 1 << 20):
-            rows = []
-            for doc, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = shingles(t, ids, n)
-                rows += [(doc, len(s), band, keys.view(np.int64)) for band, keys in (sketch_keys(s, percent) if len(s) else ())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["id", "n", "band", "keys"])
-
-    return docs.mapInArrow(run, "id bigint, n bigint, band int, keys array<bigint>")
+            count = b.num_rows
+            doc, h = sets(b.column("text").to_pylist(), ids, n)
+            size = np.bincount(doc, minlength=count)
+            x = mix64(h ^ seed(11))
+            f1, f2 = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
+            if len(h):
+                some = np.flatnonzero(size)
+                at = (np.cumsum(size) - size)[some]
+                f1[some], f2[some] = np.bitwise_xor.reduceat(x, at), np.add.reduceat(mix64(x + np.uint64(1)), at)
+            (band, o, k), (band2, o2, k2) = sketch_keys(doc, h, count, percent)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(band, pa.int32()), lists(o, k, count), pa.array(band2, pa.int32()), lists(o2, k2, count)],
+                ["id", "n", "f1", "f2", "band", "keys", "band2", "keys2"],
+            )
+
+    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, band int, keys array<bigint>, band2 int, keys2 array<bigint>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -143,8 +154,8 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
         ids, own = WordIds(), None
         for batch in pieces(batches, "text", 2 << 20):
             out = []
-            for a, b, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s = shingles(t, ids, n)
+            own_sets = split(*sets(batch.column("text").to_pylist(), ids, n), batch.num_rows)
+            for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), own_sets, strict=True):
                 if a is None:
                     own = s
                 else:
@@ -189,27 +200,25 @@ def crowded(members: DataFrame) -> DataFrame:
     return hot.drop("hub", "hub_n", "c").join(short, ["id", "band"], "left_semi")
 
 
-def similar_pairs(docs: DataFrame, reps: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """((a, b) that link, (node, component)) of the classes that reps (id) stand for; every pair of classes that links is within a component."""
-    arrays = keyed(docs, key, text, n, percent).join(reps, "id", "left_semi").dropDuplicates(["id", "band"])
-    parts = arrays.select("id", "n", "band", F.size("keys").alias("parts"), F.explode("keys").alias("k"))
-    members = table(with_hubs(parts), "parts")
+def similar_pairs(reps: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """(node, component) of the sketched classes reps that link; every pair of classes that links is within a component."""
+    both = F.array(F.struct("band", "keys"), F.struct(F.col("band2").alias("band"), F.col("keys2").alias("keys")))
+    each = reps.select("id", "n", F.explode(both).alias("x")).where("x.band >= 0").select("id", "n", "x.band", F.size("x.keys").alias("parts"), F.explode("x.keys").alias("k"))
+    members = table(with_hubs(each), "parts")
     again = table(with_hubs(crowded(members)), "crowded")
     pairs = checkpoint(candidates(members.where(F.col("c") <= GROUP), percent).union(candidates(again, percent)).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(again.select("id")).distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi").dropDuplicates(["id"])
     texts = table(texts, "texts")
     checked = checkpoint(verify(pairs, texts, n, percent))
-    links = checked.where("link").select("a", "b")
-    found = checkpoint(components(links))
+    found = components(checked.where("link"))
     hot = again.where(F.col("c") > GROUP).select("k", "id", "n", "hub", "hub_n")
     while (more := rest(hot, found, checked, percent)) is not None:
         hot, pairs = more
         new = checkpoint(verify(pairs, texts, n, percent))
-        checked = checkpoint(checked.union(new))
-        links = checked.where("link").select("a", "b")
-        found = checkpoint(components(links))
-    return links, found
+        checked = checked.union(new)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new.where("link").select("a", "b")))
+    return found
 
 
 def rest(hot: DataFrame, found: DataFrame, checked: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
@@ -246,9 +255,11 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    sizes = checkpoint(sketches(docs, key, text, n, percent))
-    classes = checkpoint(sizes.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep")))
-    _, found = similar_pairs(docs, classes.select(F.col("rep").alias("id")), key, text, n, percent)
+    sizes = table(sketches(docs, key, text, n, percent), "sketches")
+    filled = sizes.where("n > 0 and id is not null")
+    classes = checkpoint(filled.groupBy("f1", "f2").agg(F.min("id").alias("rep")))
+    reps = filled.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    found = similar_pairs(reps, docs, key, text, n, percent)
     named = classes.join(found, classes.rep == found.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = sizes.join(named, ["f1", "f2"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
