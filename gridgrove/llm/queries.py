@@ -1,6 +1,6 @@
 """The operators' queries over the driver tables, and SQL for those that SQL can express."""
 
-from gridgrove.llm import decontaminate, jaccard, language, mixing, neighbours, secrets, toxicity
+from gridgrove.llm import decontaminate, jaccard, language, mixing, neighbours, pii, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_neighbours": neighbours.op8_neighbours,
     "op9_secrets": secrets.op9_secrets,
+    "op10_pii": pii.op10_pii,
 }
 
 SQL = {
