@@ -8,9 +8,11 @@ pair always has an equal part. Above, p is chosen such that a part is equal and
 pair with a probability of 0.36 at least, and SKETCH parts are compared: the chance that a pair is missed is under 1e-9.
 
 Equal sets are one class from the start. A part shared by more than GROUP classes is crowded, and is left out for every class
-that has enough other parts to meet each similar class in one of them (COLD; the chance that none of them is common is under 1e-8). Classes without enough, as the members of a large group of near copies, are compared with the
-smallest class of the group; those left in other components are compared again, among themselves
-and with members that the triangle inequality doesn't rule out, until none are left.
+that has enough other parts to meet each similar class in one of them (COLD; the chance that none of them is common is under 1e-8).
+Classes without enough, as the members of a large group of near copies, are compared with the smallest class of the group.
+Where a crowded group still has several components, those are compared by a second sketch in tiles of many tasks: BITS bits,
+each the parity of the shingles hashed to it, whose Hamming distance is at most the symmetric difference. Only pairs of different
+components that this bound allows are verified by their texts, and so are all other candidates.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SINGLE = 32  # shingles up to which each is a part of its own
 SKETCH = 48  # parts of a larger document's sketch that are compared
 GROUP = 16  # classes with an equal part up to which all pairs are candidates
 COLD = 24  # parts shared by few that excuse a class from crowded ones
+BITS = 1024
+TILE = 2048  # classes of a crowded group that are compared with another such tile at once
 HUB = 500  # members that a class' text is sent to at once, about
 
 _SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -112,7 +116,7 @@ def sketch_keys(doc: np.ndarray, h: np.ndarray, count: int, percent: int = PERCE
 
 
 def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, band, keys, band2, keys2) of each row: its set's size and fingerprint, and the keys of its bands; band2 is -1 for none."""
+    """(id, n, f1, f2, bits, band, keys, band2, keys2) of each row: its set's size, fingerprint and parities, and the keys of its bands; band2 is -1 for none."""
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
 
     def lists(owner: np.ndarray, keys: np.ndarray, count: int) -> pa.Array:
@@ -130,13 +134,15 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
                 some = np.flatnonzero(size)
                 at = (np.cumsum(size) - size)[some]
                 f1[some], f2[some] = np.bitwise_xor.reduceat(x, at), np.add.reduceat(mix64(x + np.uint64(1)), at)
+            odd = np.bincount(doc * BITS + (mix64(h + seed(13)) >> np.uint64(32)).astype(np.int64) % BITS, minlength=count * BITS).astype(np.uint8) & 1
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(odd).view(np.int64)), BITS // 64).cast(pa.list_(pa.int64()))
             (band, o, k), (band2, o2, k2) = sketch_keys(doc, h, count, percent)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(band, pa.int32()), lists(o, k, count), pa.array(band2, pa.int32()), lists(o2, k2, count)],
-                ["id", "n", "f1", "f2", "band", "keys", "band2", "keys2"],
+                [b.column("id"), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bits, pa.array(band, pa.int32()), lists(o, k, count), pa.array(band2, pa.int32()), lists(o2, k2, count)],
+                ["id", "n", "f1", "f2", "bits", "band", "keys", "band2", "keys2"],
             )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, band int, keys array<bigint>, band2 int, keys2 array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, bits array<bigint>, band int, keys array<bigint>, band2 int, keys2 array<bigint>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -200,49 +206,80 @@ def crowded(members: DataFrame) -> DataFrame:
     return hot.drop("hub", "hub_n", "c").join(short, ["id", "band"], "left_semi")
 
 
+def allowed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches' Hamming distance is at most the largest symmetric difference of similar sets."""
+    own = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    other = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, c: s + c)
+    return pairs.join(own, "a").join(other, "b").where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
+def crossed(hot: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of crowded groups (k, id, n): pairs of different components that the Hamming distance of their sketches allows."""
+    named = found.select(F.col("node").alias("id"), F.col("component").alias("own"))
+    rows = checkpoint(hot.join(named, "id", "left").withColumn("own", F.coalesce("own", "id")))
+    mixed = rows.groupBy("k").agg(F.count("*").alias("c"), F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("k", F.expr(f"cast(1 + (c - 1) div {TILE} as int)").alias("t"))
+    rows = rows.join(mixed, "k").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("t")).cast("int"))
+    first = rows.withColumns({"i": F.col("tile"), "j": F.explode(F.expr("sequence(tile, t - 1)"))})
+    second = rows.where("tile > 0").withColumns({"i": F.explode(F.expr("sequence(0, tile - 1)")), "j": F.col("tile")})
+    columns = ["k", "i", "j", "tile", "id", "n", "own"]
+    both = first.select(*columns).union(second.select(*columns)).join(reps.select("id", "bits"), "id")
+    both = both.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "id").select(*columns, "bits")
+
+    def pairs_of(i: int, j: int, tile, ids, n, own, bits) -> tuple[np.ndarray, np.ndarray]:
+        tile, ids, n, own, bits = np.array(tile), np.array(ids), np.array(n), np.array(own), np.array(bits, np.int64).view(np.uint64)
+        out = []
+        for begin in range(0, len(ids), 64):
+            part = slice(begin, begin + 64)
+            apart = np.bitwise_count(bits[part, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+            good = apart * (100 + percent) <= (n[part, None] + n[None, :]) * (100 - percent)
+            good &= (own[part, None] != own[None, :]) & (np.arange(begin, begin + len(ids[part]))[:, None] > np.arange(len(ids))[None, :])
+            good &= (tile[part, None] != tile[None, :]) | (i == j)
+            out.append(np.nonzero(good) + np.array([[begin], [0]]))
+        a, b = np.concatenate(out, axis=1)
+        return ids[a], ids[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done():
+            if len(held) > 1:
+                a, b = pairs_of(key[1], key[2], *zip(*held, strict=True))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for k, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in [*columns, "bits"]), strict=True):
+                if key != (k, i, j):
+                    yield from done()
+                    key, held = (k, i, j), []
+                held.append(rest)
+        yield from done()
+
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def similar_pairs(reps: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """(node, component) of the sketched classes reps that link; every pair of classes that links is within a component."""
     both = F.array(F.struct("band", "keys"), F.struct(F.col("band2").alias("band"), F.col("keys2").alias("keys")))
     each = reps.select("id", "n", F.explode(both).alias("x")).where("x.band >= 0").select("id", "n", "x.band", F.size("x.keys").alias("parts"), F.explode("x.keys").alias("k"))
     members = table(with_hubs(each), "parts")
     again = table(with_hubs(crowded(members)), "crowded")
-    pairs = checkpoint(candidates(members.where(F.col("c") <= GROUP), percent).union(candidates(again, percent)).distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(again.select("id")).distinct()
+    pairs = candidates(members.where(F.col("c") <= GROUP), percent).union(candidates(again, percent)).distinct()
+    pairs = checkpoint(allowed(pairs, reps, percent))
+    hot = again.where(F.col("c") > GROUP).select("k", "id", "n")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi").dropDuplicates(["id"])
     texts = table(texts, "texts")
-    checked = checkpoint(verify(pairs, texts, n, percent))
-    found = components(checked.where("link"))
-    hot = again.where(F.col("c") > GROUP).select("k", "id", "n", "hub", "hub_n")
-    while (more := rest(hot, found, checked, percent)) is not None:
-        hot, pairs = more
-        new = checkpoint(verify(pairs, texts, n, percent))
-        checked = checked.union(new)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new.where("link").select("a", "b")))
-    return found
-
-
-def rest(hot: DataFrame, found: DataFrame, checked: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
-    """The next round over large groups: the members outside their hub's component, with new hubs, and the pairs to check.
-
-    They are paired with each other or with the new hub, and with the members inside at a distance from the old hub that
-    allows a link: |d(a, hub) - d(b, hub)| <= 1 - percent / 100, where both are known.
-    """
-    named = found.select(F.col("node").alias("id"), F.col("component").alias("own"))
-    hubs = found.select(F.col("node").alias("hub"), F.col("component").alias("theirs"))
-    both = hot.join(named, "id", "left").join(hubs, "hub", "left").withColumn("own", F.coalesce("own", "id")).withColumn("theirs", F.coalesce("theirs", "hub"))
-    both = checkpoint(both)
-    if small(both.where("own <> theirs"), 0):
-        return None
-    known = checked.select(F.col("a").alias("id"), F.col("b").alias("hub"), "distance")
-    both = both.join(known, ["id", "hub"], "left").withColumn("distance", F.when(F.col("id") == F.col("hub"), 0.0).otherwise(F.col("distance")))
-    outside = checkpoint(both.where("own <> theirs"))
-    inside = both.where("own = theirs").select("k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("distance").alias("db"))
-    near = F.coalesce(F.abs(F.col("distance") - F.col("db")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9
-    crossed = outside.join(inside, "k").where(fits("n", "nb", percent) & near)
-    crossed = crossed.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"))
-    then = checkpoint(with_hubs(outside.select("k", "id", "n")))
-    pairs = candidates(then, percent).union(crossed).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    return then.where(F.col("c") > GROUP).select("k", "id", "n", "hub", "hub_n"), checkpoint(pairs)
+    links = checkpoint(verify(pairs, texts, n, percent).where("link").select("a", "b"))
+    found = components(links)
+    if small(hot, 0):
+        return found
+    more = checkpoint(crossed(hot, found, reps, percent).join(pairs, ["a", "b"], "left_anti"))
+    if small(more, 0):
+        return found
+    links = verify(more, texts, n, percent).where("link").select("a", "b")
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -258,7 +295,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     sizes = table(sketches(docs, key, text, n, percent), "sketches")
     filled = sizes.where("n > 0 and id is not null")
     classes = checkpoint(filled.groupBy("f1", "f2").agg(F.min("id").alias("rep")))
-    reps = filled.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    reps = table(filled.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "classes")
     found = similar_pairs(reps, docs, key, text, n, percent)
     named = classes.join(found, classes.rep == found.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = sizes.join(named, ["f1", "f2"], "left")
