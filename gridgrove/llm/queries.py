@@ -1,10 +1,11 @@
 """The operators' queries over the driver tables, and SQL for those that SQL can express."""
 
-from gridgrove.llm import decontaminate, html, jaccard, language, mixing, neighbours, pii, secrets, toxicity
+from gridgrove.llm import decontaminate, html, jaccard, language, lmscore, mixing, neighbours, pii, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_lmscore": lmscore.op3_lmscore,
     "op4_mixing": mixing.op4_mixing,
     "op5_html": html.op5_html,
     "op6_language": language.op6_language,
