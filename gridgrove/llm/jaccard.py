@@ -192,10 +192,12 @@ def with_hubs(members: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of small groups, and each member of a large one with its hub."""
-    star = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb"))
-    few = all_pairs(members.where(F.col("c") <= GROUP))
-    return star.where(F.col("c") > GROUP).union(few).where(fits("na", "nb", percent)).select("a", "b").distinct()
+    """(a, b): all pairs of small groups, and each member of large ones with the hub that it shares most of them with."""
+    star = members.where(F.col("c") > GROUP).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb"))
+    star = star.where(fits("na", "nb", percent)).groupBy("a", "b").agg(F.count("*").alias("times"))
+    star = star.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
+    few = all_pairs(members.where(F.col("c") <= GROUP)).where(fits("na", "nb", percent)).select("a", "b")
+    return star.union(few).distinct()
 
 
 def crowded(members: DataFrame) -> DataFrame:
