@@ -19,11 +19,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgrove.llm.common import WordIds, checkpoint, fold, mix64, read, space_words, table, text_bytes
+from gridgrove.llm.common import WordIds, checkpoint, fold, mix64, pieces, read, space_words, table, text_bytes
 
 DEPTH = 4  # bytes of context
-BLOCK_BYTES = 12 << 20  # text of a block, about
-PART_BYTES = 4 << 20  # text that is turned into grams at once, at least one document
+BLOCK_BYTES = 64 << 20  # text of a block, at most about
+PART_BYTES = 2 << 20  # text that is turned into grams at once, at least one document
 NEAR = 3  # recent context bytes below which all depths of a subtree are worked out in one task: at most 256 ** (DEPTH + 1 - NEAR) grams
 BUCKET = 200_000  # grams of a task, about, that works out subtrees
 
@@ -116,22 +116,30 @@ class Subtrees:
         return np.log10(np.where(bits, p, np.maximum(1 - p, 1e-300))).sum(axis=0)
 
 
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A batch as compressed bytes, about a third of its texts' size."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (row, text, learned, ...) with a block: rows of a partition one after the other, up to block_bytes of text."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """(block, data): the rows of docs (text, learned, ...) in packed batches; a block has those of a partition up to block_bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 32
-        before = 0
-        for batch in batches:
-            size = np.asarray(pa.compute.binary_length(batch.column("text")), np.int64)
-            ends = before + np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + ends // block_bytes)], [*batch.schema.names, "block"])
-            before = int(ends[-1]) if len(ends) else before
+        first, before = TaskContext.get().partitionId() << 32, 0
+        for batch in pieces(batches, "text", PART_BYTES):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([first + before // block_bytes], pa.int64()), "data": pa.array([packed(batch)], pa.binary())})
+            before += int(pa.compute.sum(pa.compute.binary_length(batch.column("text"))).as_py() or 0)
 
-    return docs.mapInArrow(run, f"{fields}, block bigint")
+    return docs.mapInArrow(run, "block bigint, data binary")
 
 
 def counted(x: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,44 +173,31 @@ def gathered(placed: DataFrame) -> DataFrame:
                 held[kind] = []
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), key)), pa.array(np.full(len(g), kind, np.int32)), pa.array(g.view(np.int64)), pa.array(c)], ["block", "kind", "key", "n"])
 
-        for batch in batches:
-            block = np.asarray(batch.column("block"))
-            for begin, end in runs(block):
-                if key is not None and key != block[begin]:
+        for whole in batches:
+            for block, data in zip(whole.column("block").to_pylist(), whole.column("data"), strict=True):
+                if key is not None and key != block:
                     yield from out()
-                key = block[begin]
-                strings = batch.column("text").slice(begin, end - begin).to_pylist()
-                learned = np.asarray(batch.column("learned").slice(begin, end - begin).to_pylist(), bool)
-                for lo, hi in cuts([len(t) for t in strings]):
-                    text, g = grams([text_bytes(t) for t in strings[lo:hi]])
-                    own = learned[lo:hi][text]
-                    held[0] += [counted(g[own], 1), counted(g[~own], 0)]
-                    for weight in (0, 1):
-                        some = [t for t, w in zip(strings[lo:hi], learned[lo:hi], strict=True) if w == weight]
-                        held[1] += [counted(ids.of([w for t in some for w in space_words(t)]), weight), (np.array([END], np.uint64), np.array([weight * len(some)]))]
-                    for kind in (0, 1):
-                        if len(held[kind]) > 12:
-                            held[kind] = [merge(held[kind])]
+                key, batch = block, unpacked(data.as_py())
+                strings = batch.column("text").to_pylist()
+                learned = np.asarray(batch.column("learned").to_pylist(), bool)
+                text, g = grams([text_bytes(t) for t in strings])
+                own = learned[text]
+                held[0] += [counted(g[own], 1), counted(g[~own], 0)]
+                for weight in (0, 1):
+                    some = [t for t, w in zip(strings, learned, strict=True) if w == weight]
+                    held[1] += [counted(ids.of([w for t in some for w in space_words(t)]), weight), (np.array([END], np.uint64), np.array([weight * len(some)]))]
+                for kind in (0, 1):
+                    if len(held[kind]) > 12:
+                        held[kind] = [merge(held[kind])]
         if key is not None:
             yield from out()
 
-    return placed.select("block", "text", "learned").mapInArrow(run, "block bigint, kind int, key bigint, n bigint")
+    return placed.mapInArrow(run, "block bigint, kind int, key bigint, n bigint")
 
 
 END = 0x9E3779B97F4A7C15  # a text's end, as a token's hash
 
 
-def cuts(sizes: list[int], most: int = PART_BYTES) -> list[tuple[int, int]]:
-    """Ranges of texts of `most` characters or one text."""
-    out, begin, total = [], 0, 0
-    for k, n in enumerate(sizes):
-        if k > begin and total + n > most:
-            out.append((begin, k))
-            begin, total = k, 0
-        total += n
-    return [*out, (begin, len(sizes))] if sizes else []
-
-
 def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their summed counts."""
     g, c = (np.concatenate(z) for z in zip(*parts, strict=True))
@@ -332,51 +327,76 @@ class Lookup:
         return out
 
 
-def scored(placed: DataFrame, held: DataFrame, n: int, v: int) -> DataFrame:
-    """placed's columns other than text, learned and block, with the scores; held has (block, kind, key, value) of all that each block holds.
+def in_packs(rows: DataFrame) -> DataFrame:
+    """(block, kind, data): the rows (block, kind, key, value), a partition's of one block and kind together, as bytes of keys and then of values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+
+        def out():
+            keys = list(held)
+            data = [b"".join([*(k.tobytes() for k, _ in held[x]), *(v.tobytes() for _, v in held[x])]) for x in keys]
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int32()), pa.array(data, pa.binary())], ["block", "kind", "data"])
+
+        n = 0
+        for batch in batches:
+            block, kind, key, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "kind", "key", "value"))
+            order = np.lexsort((key, kind, block))
+            block, kind, key, value = block[order], kind[order], key[order], value[order]
+            for begin, end in runs(block, kind):
+                held.setdefault((int(block[begin]), int(kind[begin])), []).append((key[begin:end], value[begin:end]))
+            n += len(block)
+            if n > 2_000_000:
+                yield from out()
+                n = 0
+        if held:
+            yield from out()
+
+    return rows.mapInArrow(run, "block bigint, kind int, data binary")
+
+
+def scored(placed: DataFrame, held: DataFrame, kept: dict[str, str], n: int, v: int) -> DataFrame:
+    """The kept columns, with their types, and the scores of every row of placed; held has (block, kind, key, value) of all that each block holds.
 
     Values are a gram's score and a token's count; n and v are how many training tokens and distinct ones there are.
     """
-    kept = [c for c in placed.columns if c not in ("text", "learned", "block")]
-    types = {f.name: f.dataType for f in placed.schema}
-    rows = held.select("block", "kind", "key", "value", F.lit(None).cast("string").alias("text"), *(F.lit(None).cast(types[c]).alias(c) for c in kept))
-    rows = rows.union(placed.select("block", F.lit(2), F.lit(0).cast("bigint"), F.lit(0.0), "text", *kept))
-    rows = rows.repartition("block").sortWithinPartitions("block", "kind")
-    fields = ", ".join(f"`{c}` {types[c].simpleString()}" for c in kept)
+    rows = in_packs(held).union(placed.select("block", F.lit(2), "data")).repartition("block").sortWithinPartitions("block", "kind")
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
+    def scores_of(strings: list[str], tables: list[Lookup]) -> list[pa.Array]:
+        text, g = grams([text_bytes(t) for t in strings])
+        score = np.bincount(text, tables[0].of(g), len(strings))
+        found = [space_words(t) for t in strings]
+        size = np.array([len(f) + 1 for f in found], np.int64)
+        tokens, inner = np.full(size.sum(), END, np.uint64), np.ones(size.sum(), bool)
+        inner[np.cumsum(size) - 1] = False
+        tokens[inner] = ids.of([w for f in found for w in f])
+        c, doc = tables[1].of(tokens), np.repeat(np.arange(len(strings)), size)
+        base = np.bincount(doc, np.log10((c + 1) / (n + v + 1)), len(strings))
+        known = np.bincount(doc, c > 0, len(strings)).astype(np.int64)
+        return [pa.array(size), pa.array(known), pa.array(np.full(len(strings), n, np.int64)), pa.array(base), pa.array(score)]
+
+    ids = WordIds()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, key, parts, tables = WordIds(), None, {0: [], 1: []}, None
-        for batch in batches:
-            block, kinds = np.asarray(batch.column("block")), np.asarray(batch.column("kind"))
-            for begin, end in runs(block, kinds):
-                if key != block[begin]:
-                    key, parts, tables = block[begin], {0: [], 1: []}, None
-                piece = batch.slice(begin, end - begin)
-                kind = int(kinds[begin])
+        key, parts, tables = None, {0: [], 1: []}, None
+        for whole in batches:
+            for block, kind, data in zip(whole.column("block").to_pylist(), whole.column("kind").to_pylist(), whole.column("data"), strict=True):
+                if key != block:
+                    key, parts, tables = block, {0: [], 1: []}, None
                 if kind < 2:
-                    parts[kind].append((piece.column("key").to_numpy(zero_copy_only=False).view(np.uint64), piece.column("value").to_numpy(zero_copy_only=False)))
+                    both = np.frombuffer(data.as_py(), np.uint64).reshape(2, -1)
+                    parts[kind].append((both[0], both[1].view(float)))
                     continue
                 if tables is None:
                     none = (np.empty(0, np.uint64), np.empty(0))
                     tables = [Lookup(*(np.concatenate(z) for z in zip(none, *parts[k], strict=True))) for k in (0, 1)]
                     parts = {0: [], 1: []}
-                strings = piece.column("text").to_pylist()
-                for lo, hi in cuts([len(t) for t in strings], PART_BYTES // 4):
-                    text, g = grams([text_bytes(t) for t in strings[lo:hi]])
-                    score = np.bincount(text, tables[0].of(g), hi - lo)
-                    found = [space_words(t) for t in strings[lo:hi]]
-                    size = np.array([len(f) + 1 for f in found], np.int64)
-                    tokens, inner = np.full(size.sum(), END, np.uint64), np.ones(size.sum(), bool)
-                    inner[np.cumsum(size) - 1] = False
-                    tokens[inner] = ids.of([w for f in found for w in f])
-                    c, doc = tables[1].of(tokens), np.repeat(np.arange(hi - lo), size)
-                    base = np.bincount(doc, np.log10((c + 1) / (n + v + 1)), hi - lo)
-                    known = np.bincount(doc, c > 0, hi - lo).astype(np.int64)
-                    own = piece.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([*(own.column(k) for k in kept), pa.array(size), pa.array(known), pa.array(np.full(hi - lo, n, np.int64)), pa.array(base), pa.array(score)], [*kept, *added])
-
-    return rows.mapInArrow(run, ", ".join(filter(None, [fields, "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"])))
+                batch = unpacked(data.as_py())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *scores_of(batch.column("text").to_pylist(), tables)], [*kept, *added])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in kept.items()), "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"]))
 
 
 def lm_scores(docs: DataFrame, learned, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -398,7 +418,8 @@ def lm_scores(docs: DataFrame, learned, text: str = "text", block_bytes: int = B
     buckets = int(max(64, 1 + held.where("kind = 0").count() // BUCKET))
     scores = gram_scores(counts.where("kind = 0").select(F.col("key").alias("gram"), "n"), buckets)
     values = scores.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("score").alias("value")).union(tokens.select(F.lit(1), "key", "value"))
-    found = scored(placed, held.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value"), n, v)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema if f.name not in ("text", "learned")}
+    found = scored(placed, held.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value"), types, n, v)
     return found.withColumnsRenamed({v: k for k, v in names.items()})
 
 
