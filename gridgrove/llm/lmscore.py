@@ -23,9 +23,9 @@ from gridgrove.llm.common import WordIds, checkpoint, fold, mix64, pieces, read,
 
 DEPTH = 4  # bytes of context
 BLOCK_BYTES = 64 << 20  # text of a block, at most about
-PART_BYTES = 2 << 20  # text that is turned into grams at once, at least one document
+PART_BYTES = 1 << 19  # text that is turned into grams at once, at least one document
 NEAR = 3  # recent context bytes below which all depths of a subtree are worked out in one task: at most 256 ** (DEPTH + 1 - NEAR) grams
-BUCKET = 200_000  # grams of a task, about, that works out subtrees
+BUCKET = 50_000  # grams of a task, about, that works out subtrees
 
 LN2, LN10 = np.log(2.0), np.log(10.0)
 
@@ -34,8 +34,8 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     """(text, gram) of every byte: its context, most recent byte first, and then the byte itself in the lowest place; a text begins after zeros."""
     joined = np.frombuffer(b"".join(bytes(depth) + t for t in texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
-    text = np.repeat(np.arange(len(texts)), size)
-    at = np.arange(len(text)) + (text + 1) * depth
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    at = np.arange(len(text)) + (text.astype(np.int64) + 1) * depth
     code = np.zeros(len(at), np.uint64)
     for k in range(1, depth + 1):
         code = code << np.uint64(8) | joined[at - k]
@@ -165,7 +165,7 @@ def gathered(placed: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, key, held = WordIds(), None, {0: [], 1: []}
+        ids, key, held = WordIds(100_000), None, {0: [], 1: []}
 
         def out():
             for kind in (0, 1):
@@ -187,7 +187,7 @@ def gathered(placed: DataFrame) -> DataFrame:
                     some = [t for t, w in zip(strings, learned, strict=True) if w == weight]
                     held[1] += [counted(ids.of([w for t in some for w in space_words(t)]), weight), (np.array([END], np.uint64), np.array([weight * len(some)]))]
                 for kind in (0, 1):
-                    if len(held[kind]) > 12:
+                    if len(held[kind]) > 6:
                         held[kind] = [merge(held[kind])]
         if key is not None:
             yield from out()
@@ -347,7 +347,7 @@ def in_packs(rows: DataFrame) -> DataFrame:
             for begin, end in runs(block, kind):
                 held.setdefault((int(block[begin]), int(kind[begin])), []).append((key[begin:end], value[begin:end]))
             n += len(block)
-            if n > 2_000_000:
+            if n > 500_000:
                 yield from out()
                 n = 0
         if held:
@@ -377,7 +377,7 @@ def scored(placed: DataFrame, held: DataFrame, kept: dict[str, str], n: int, v:
         known = np.bincount(doc, c > 0, len(strings)).astype(np.int64)
         return [pa.array(size), pa.array(known), pa.array(np.full(len(strings), n, np.int64)), pa.array(base), pa.array(score)]
 
-    ids = WordIds()
+    ids = WordIds(100_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, tables = None, {0: [], 1: []}, None
