@@ -5,23 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridgrove.operators.tree import Hierarchy, shared_checkpoint
+from gridgrove.operators.tree import Hierarchy, pointer_jumped, shared_checkpoint
 
 
 def first_ancestor(tree: Hierarchy, stop: Column) -> DataFrame:
     """(image_id, node_id, found_id): each node's first ancestor, itself included, where stop holds, or else its root.
 
-    stop must hold for all ancestors of a node where it holds. Pointers are doubled, so that the rounds grow with the logarithm
-    of the depth.
+    stop must hold for all ancestors of a node where it holds. Pointers are moved on in rounds, whose number is far below the depth.
     """
     jump = shared_checkpoint(tree.nodes.select("image_id", "node_id", F.when(F.coalesce(stop, F.lit(False)) | F.col("parent_id").isNull(), F.col("node_id")).otherwise(F.col("parent_id")).alias("to")))
-    while True:
-        over = jump.select("image_id", F.col("node_id").alias("to"), F.col("to").alias("further"))
-        then = shared_checkpoint(jump.join(over, ["image_id", "to"]).select("image_id", "node_id", "to", "further"))
-        moved = then.where("to <> further").limit(1).count()
-        jump = then.select("image_id", "node_id", F.col("further").alias("to"))
-        if not moved:
-            return jump.select("image_id", "node_id", F.col("to").alias("found_id"))
+    return pointer_jumped(jump, "node_id").select("image_id", "node_id", F.col("to").alias("found_id"))
 
 
 def roots(tree: Hierarchy) -> DataFrame:

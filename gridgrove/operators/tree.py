@@ -31,16 +31,23 @@ class Hierarchy:
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the session's shared folder."""
-    context = df.sparkSession.sparkContext
+    """df with its lineage cut, in the session's shared folder.
+
+    A checkpoint keeps the size that was estimated for df, and joins multiply sizes: in a loop the estimate's digits would
+    double with each round. So the rows are taken over without it; the real sizes are known when a plan runs.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="shared-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    done = df.checkpoint()
+    rows = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(rows, spark)
 
 
 def _forest(p0: np.ndarray, p1: np.ndarray) -> np.ndarray:
@@ -198,6 +205,20 @@ def spanning_ranked(found: DataFrame, grid: Grid, bins: int = 8, **_) -> DataFra
     return local_forest(local_forest(placed, "image_id", "b"), "image_id")
 
 
+def pointer_jumped(jump: DataFrame, node: str = "c") -> DataFrame:
+    """(image_id, node, to) with `to` moved on to the end of each path; three doublings a round, and a round that changes nothing ends it."""
+    while True:
+        then = jump.withColumnRenamed("to", "was").withColumn("to", F.col("was"))
+        for _ in range(3):
+            over = jump.select("image_id", F.col(node).alias("to"), F.col("to").alias("further"))
+            then = then.join(over, ["image_id", "to"]).select("image_id", node, "was", F.col("further").alias("to"))
+        then = shared_checkpoint(then)
+        moved = then.where("was <> to").limit(1).count()
+        jump = then.select("image_id", node, "to")
+        if not moved:
+            return jump
+
+
 def _merged(left: DataFrame, tree: DataFrame, most: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Rounds over the edges (..., c0, c1) of weights up to `most` until they join no two components: what is left of all edges, and the tree with those taken."""
     while True:
@@ -216,13 +237,7 @@ def _merged(left: DataFrame, tree: DataFrame, most: float | None = None) -> tupl
         jump = to.join(back, ["image_id", "to"], "left").select("image_id", "c", own.alias("to"), root.alias("_r"))
         ends_of = jump.where("_r and to <> c").select("image_id", F.col("to").alias("c"), "to")
         jump = shared_checkpoint(jump.select("image_id", "c", "to").union(ends_of.distinct()))
-        while True:
-            over = jump.select("image_id", F.col("c").alias("to"), F.col("to").alias("further"))
-            then = shared_checkpoint(jump.join(over, ["image_id", "to"]).select("image_id", "c", F.col("further").alias("new"), "to"))
-            moved = then.where("new <> to").limit(1).count()
-            jump = then.select("image_id", "c", F.col("new").alias("to"))
-            if not moved:
-                break
+        jump = pointer_jumped(jump)
         for c in ("c0", "c1"):
             names = jump.select("image_id", F.col("c").alias(c), F.col("to").alias("_n"))
             left = left.join(names, ["image_id", c], "left").withColumn(c, F.coalesce("_n", c)).drop("_n")

@@ -1,4 +1,293 @@
-"""Named queries over the driver tables and their SQL twins."""
+"""Named queries over the driver tables and their SQL twins. The embeddings table is the image: a vector a line."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridgrove.functions import scalar as S
+from gridgrove.operators import edges as E
+from gridgrove.operators import query as Q
+from gridgrove.operators import tree as T
+from gridgrove.plans.api import build_hierarchy
+from gridgrove.sources.grid import Grid, embeddings_grid, random_grid
+
+CROP, STEP, LEVEL = 16, 16, 1.0
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pixel's level where its component covers a hundredth of the image."""
+    return Q.area_filter(build_hierarchy(embeddings_grid(spark, sf_dir), algorithm="FloodHierQueueParallel"), 0.01)
+
+
+def _grid(spark, sf_dir, channels: int = 1) -> Grid:
+    return embeddings_grid(spark, sf_dir, channels)
+
+
+def _small(spark, sf_dir) -> Grid:
+    """A corner with few levels, on which SQL can enumerate all components."""
+    return _grid(spark, sf_dir).crop(CROP, CROP).quantised(STEP)
+
+
+def grid_scan(spark, sf_dir):
+    return _grid(spark, sf_dir).pixels.select("y", "x", "p", F.get("v", F.lit(0)).alias("v"))
+
+
+def _edges(connectivity: int, metric: str, channels: int = 1):
+    def query(spark, sf_dir):
+        return E.edges(_grid(spark, sf_dir, channels), connectivity, metric).select("edge_id", "p0", "p1", F.col("dir").cast("int").alias("dir"), F.round(F.col("alpha").cast("double"), 3).alias("alpha"))
+
+    return query
+
+
+def _found(spark, sf_dir) -> DataFrame:
+    return E.edges(_grid(spark, sf_dir), 4)
+
+
+def _hist(spark, sf_dir) -> DataFrame:
+    return E.histogram(_found(spark, sf_dir))
+
+
+def rank_bins(spark, sf_dir):
+    with_bins = E.binned(E.ranked(_found(spark, sf_dir)), 1000)
+    return with_bins.groupBy("qrank").agg(F.count("*").alias("n"), F.min("alpha").cast("double").alias("lo"), F.max("alpha").cast("double").alias("hi"))
+
+
+def tile_rank_hist(spark, sf_dir):
+    grid = _grid(spark, sf_dir)
+    with_bins = E.binned(E.ranked(E.edges(grid, 4)), 1000)
+    return E.tile_rank_histogram(E.tiled(with_bins, grid.width, 100, 16, 1000000, 4)).drop("image_id")
+
+
+def tree_size_estimate(spark, sf_dir):
+    grid = _grid(spark, sf_dir)
+    return E.size_estimate(E.histogram(E.edges(grid, 4)), grid.size).select("n_edges", F.round("nrmsd", 9).alias("nrmsd"), F.round("estimate", 3).alias("estimate"))
+
+
+def line_graph(spark, sf_dir):
+    return E.line_graph(E.edges(_small(spark, sf_dir), 4)).select("e0", "e1", F.col("alpha").cast("double").alias("alpha"))
+
+
+def acc_labels(spark, sf_dir):
+    grid = _small(spark, sf_dir)
+    return T.component_labels(E.edges(grid, 4), grid.pixels, LEVEL).select("p", "label")
+
+
+def acc_attributes(spark, sf_dir):
+    grid = _small(spark, sf_dir)
+    labels = T.component_labels(E.edges(grid, 4), grid.pixels, LEVEL)
+    own = labels.join(grid.pixels, ["image_id", "p"]).withColumn("s", F.get("v", F.lit(0)))
+    return own.groupBy("label").agg(F.count("*").alias("area"), F.sum("s").alias("sum_pix"), F.min("s").alias("min_pix"), F.max("s").alias("max_pix"))
+
+
+def _tree(spark, sf_dir, algorithm: str = "FloodHierHeapQueue"):
+    return build_hierarchy(_small(spark, sf_dir), 4, algorithm=algorithm, parts=4, bins=3)
+
+
+def hierarchy_nodes(algorithm: str):
+    def query(spark, sf_dir):
+        return _tree(spark, sf_dir, algorithm).nodes.select("min_p", "area", F.col("alpha").cast("double").alias("alpha"))
+
+    return query
+
+
+def area_filter(spark, sf_dir):
+    return Q.area_filter(_tree(spark, sf_dir), 25 / CROP**2).select("p", "value")
+
+
+def level_filter(spark, sf_dir):
+    return Q.level_filter(_tree(spark, sf_dir), 0.2).select("p", F.col("value").cast("bigint").alias("value"))
+
+
+def flat_partition(spark, sf_dir):
+    return Q.flat_partition(_tree(spark, sf_dir), LEVEL).select("p", "label")
+
+
+def common_ancestors(spark, sf_dir):
+    """The level that joins each pixel of the first line to the first pixel."""
+    tree = _tree(spark, sf_dir)
+    pairs = tree.grid.pixels.where("y = 0 and x > 0").select("image_id", F.lit(0).cast("bigint").alias("p"), F.col("p").alias("q"))
+    return Q.common_ancestor(tree, pairs).select("q", F.col("alpha").cast("double").alias("alpha"))
+
+
+def mst_edges(spark, sf_dir):
+    grid = _small(spark, sf_dir)
+    return T.spanning_tiled(E.edges(grid, 4), grid, parts=4).select("edge_id", F.col("alpha").cast("double").alias("alpha"))
+
+
+def strategies_agree(spark, sf_dir):
+    """How many nodes of each strategy the others don't have: none."""
+    grid = _grid(spark, sf_dir).crop(64, 64)
+    plain = T.shared_checkpoint(build_hierarchy(grid, 8, algorithm="kruskal").nodes)
+    rows = []
+    for name in ("tiled", "rank_bins", "boruvka"):
+        other = build_hierarchy(grid, 8, algorithm=name, parts=8, bins=4).nodes
+        apart = plain.exceptAll(other).union(other.exceptAll(plain)).agg(F.count("*").alias("mismatches"))
+        rows.append(apart.select(F.lit(name).alias("strategy"), "mismatches"))
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def area_filter_whole(spark, sf_dir):
+    return flagship(spark, sf_dir).select("p", "value")
+
+
+def redundant_edges(spark, sf_dir):
+    grid = _small(spark, sf_dir)
+    return T.redundant(E.edges(grid, 4), 4, grid).select("edge_id")
+
+
+def random_samples_range(spark, sf_dir):
+    """Each depth's samples stay within it."""
+    out = None
+    for bits in (1, 8, 12, 16, 32):
+        grid = random_grid(spark, 64, 64, bits, seed=5)
+        one = grid.pixels.agg(F.count("*").alias("n"), F.count_if((F.get("v", F.lit(0)) < 0) | (F.get("v", F.lit(0)) >= float(1 << bits))).alias("outside")).select(F.lit(bits).alias("bits"), "n", "outside")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def availability(spark, sf_dir):
+    grid = _grid(spark, sf_dir)
+    mask = S.availability_mask(F.col("y"), F.col("x"), grid.height, grid.width, 8)
+    return grid.pixels.groupBy(mask.alias("mask")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {
+    "grid_scan": grid_scan,
+    "edges4_l2": _edges(4, "L2"),
+    "edges8_l2": _edges(8, "L2"),
+    "edges8_l1": _edges(8, "L1", 4),
+    "edges8_l2_multi": _edges(8, "L2", 4),
+    "edges8_linf": _edges(8, "LInfinity", 4),
+    "diff_hist": lambda s, d: _hist(s, d).select("level", "n"),
+    "log_diff_hist": lambda s, d: E.log_histogram(_found(s, d), 15.0).select("level", "n"),
+    "diff_cumsum": lambda s, d: E.cumulated(_hist(s, d)).select("level", "n", "cum"),
+    "queue_offsets": lambda s, d: E.offsets(_hist(s, d)).select("level", "n", "start"),
+    "histeq_map": lambda s, d: E.equalised(_hist(s, d), 32).select("level", "n", "bin"),
+    "edge_rank": lambda s, d: E.ranked(_found(s, d)).select("edge_id", "rank"),
+    "rank_bins": rank_bins,
+    "tile_rank_hist": tile_rank_hist,
+    "tree_size_estimate": tree_size_estimate,
+    "min_incident_edge": lambda s, d: E.least_incident(_found(s, d)).select("p", "edge_id", F.col("alpha").cast("double").alias("alpha")),
+    "edge_minmax": lambda s, d: E.edge_range(_found(s, d)).select("n", F.col("min_alpha").cast("double").alias("min_alpha"), F.col("max_alpha").cast("double").alias("max_alpha"), "min_edge", "max_edge"),
+    "level_quantile": lambda s, d: E.level_quantile(_hist(s, d), 0.3).select("level"),
+    "line_graph": line_graph,
+    "availability": availability,
+    "random_samples_range": random_samples_range,
+    "acc_labels_t": acc_labels,
+    "acc_attributes_t": acc_attributes,
+    "hierarchy_nodes": hierarchy_nodes("FloodHierHeapQueue"),
+    "hierarchy_nodes_tiled": hierarchy_nodes("FloodHierQueueParallel"),
+    "hierarchy_nodes_rank_bins": hierarchy_nodes("HybridParallel"),
+    "hierarchy_nodes_boruvka": hierarchy_nodes("FloodTrieQueueHypergraph"),
+    "hierarchy_nodes_levels": hierarchy_nodes("levels"),
+    "area_filter": area_filter,
+    "level_filter": level_filter,
+    "flat_partition": flat_partition,
+    "common_ancestors": common_ancestors,
+    "mst_edges": mst_edges,
+    "redundant_edges": redundant_edges,
+    "strategies_agree": strategies_agree,
+    "area_filter_whole": area_filter_whole,
+}
+
+_GRID = """g AS (
+  SELECT CAST(vec_id AS BIGINT) AS y, CAST(i - 1 AS BIGINT) AS x, CAST(vec_id * 64 + i - 1 AS BIGINT) AS p,
+    GREATEST(0.0::DOUBLE, LEAST(255.0::DOUBLE, FLOOR((CAST(embedding[i] AS DOUBLE) + 0.5) * 256))) AS v
+  FROM embeddings, (SELECT UNNEST(RANGE(1, 65)) AS i)
+)"""
+_SMALL = _GRID + f""", s AS (SELECT y, x, y * {CROP} + x AS p, FLOOR(v / {STEP}) AS v FROM g WHERE y < {CROP} AND x < {CROP})"""
+
+
+def _edge_sql(table: str, width: int, connectivity: int) -> str:
+    ways = S.OFFSETS[connectivity]
+    values = ", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate(ways))
+    return f"""e AS (
+  SELECT a.p * {len(ways)} + d.k AS edge_id, a.p AS p0, b.p AS p1, d.k AS dir, CAST(CAST(ABS(a.v - b.v) AS REAL) AS DOUBLE) AS alpha
+  FROM {table} a CROSS JOIN (VALUES {values}) d(k, dy, dx) JOIN {table} b ON b.y = a.y + d.dy AND b.x = a.x + d.dx
+)"""
+
+
+def _multi_sql(metric: str) -> str:
+    """Edges of 4 channels: sums over channels of each pair of neighbours."""
+    values = ", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate(S.OFFSETS[8]))
+    made = {"L1": "SUM(ABS(a.v - b.v)) / 4", "L2": "SQRT(SUM((a.v - b.v) * (a.v - b.v)) / 4)", "LInfinity": "MAX(ABS(a.v - b.v))"}[metric]
+    return f"""WITH {_GRID}, c AS (SELECT y, x // 4 AS x, x % 4 AS ch, v FROM g)
+SELECT (a.y * 16 + a.x) * 4 + d.k AS edge_id, a.y * 16 + a.x AS p0, b.y * 16 + b.x AS p1, d.k AS dir, ROUND(CAST(CAST({made} AS REAL) AS DOUBLE), 3) AS alpha
+FROM c a CROSS JOIN (VALUES {values}) d(k, dy, dx) JOIN c b ON b.y = a.y + d.dy AND b.x = a.x + d.dx AND a.ch = b.ch GROUP BY a.y, a.x, b.y, b.x, d.k"""
+
+
+_E4 = f"WITH {_GRID}, {_edge_sql('g', 64, 4)}"
+_E8 = f"WITH {_GRID}, {_edge_sql('g', 64, 8)}"
+_H4 = _E4 + ", h AS (SELECT CAST(FLOOR(alpha) AS BIGINT) AS level, COUNT(*) AS n FROM e GROUP BY 1)"
+_R4 = _E4 + ", r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY alpha, edge_id) - 1 AS rank FROM e)"
+_SE = f"WITH RECURSIVE {_SMALL}, {_edge_sql('s', CROP, 4)}"
+# All components at all levels: reach has every pixel that a pixel reaches at a level.
+_CC = (
+    _SE
+    + """, w AS (SELECT p0 AS p, p1 AS q, alpha FROM e UNION ALL SELECT p1, p0, alpha FROM e),
+lv AS (SELECT DISTINCT alpha AS t FROM e UNION SELECT 0.0),
+reach AS (SELECT t, p, p AS q FROM lv, s UNION SELECT r.t, r.p, w.q FROM reach r JOIN w ON w.p = r.q AND w.alpha <= r.t),
+cc AS (SELECT t, p, MIN(q) AS lab, COUNT(*) AS n FROM reach GROUP BY t, p)"""
+)
+_AT = _SE + f""", w AS (SELECT p0 AS p, p1 AS q FROM e WHERE alpha <= {LEVEL} UNION ALL SELECT p1, p0 FROM e WHERE alpha <= {LEVEL}),
+reach AS (SELECT p, p AS q FROM s UNION SELECT r.p, w.q FROM reach r JOIN w ON w.p = r.q),
+lab AS (SELECT p, MIN(q) AS label FROM reach GROUP BY p)"""
+_NODES = _CC + " SELECT lab AS min_p, n AS area, MIN(t) AS alpha FROM cc WHERE p = lab GROUP BY lab, n"
+# An edge is on the spanning tree if its ends aren't joined by edges before it; the order is (alpha, edge_id).
+_RANKED = _SE + """, o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY alpha, edge_id) AS k FROM e),
+w AS (SELECT p0 AS p, p1 AS q, k FROM o UNION ALL SELECT p1, p0, k FROM o)"""
+_MASK = " + ".join(f"CASE WHEN y + ({dy}) BETWEEN 0 AND m.h AND x + ({dx}) BETWEEN 0 AND 63 THEN {1 << k} ELSE 0 END" for k, (dy, dx) in enumerate([*S.OFFSETS[8], *((-a, -b) for a, b in S.OFFSETS[8])]))
+
+SQL = {
+    "grid_scan": f"WITH {_GRID} SELECT y, x, p, v FROM g",
+    "edges4_l2": _E4 + " SELECT edge_id, p0, p1, dir, ROUND(alpha, 3) AS alpha FROM e",
+    "edges8_l2": _E8 + " SELECT edge_id, p0, p1, dir, ROUND(alpha, 3) AS alpha FROM e",
+    "edges8_l1": _multi_sql("L1"),
+    "edges8_l2_multi": _multi_sql("L2"),
+    "edges8_linf": _multi_sql("LInfinity"),
+    "diff_hist": _H4 + " SELECT level, n FROM h",
+    "log_diff_hist": _E4 + " SELECT CAST(FLOOR(15.0::DOUBLE * LOG2(1.0 + alpha)) AS BIGINT) AS level, COUNT(*) AS n FROM e GROUP BY 1",
+    "diff_cumsum": _H4 + " SELECT level, n, CAST(SUM(n) OVER (ORDER BY level) AS BIGINT) AS cum FROM h",
+    "queue_offsets": _H4 + " SELECT level, n, CAST(COALESCE(SUM(n) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM h",
+    "histeq_map": _H4 + " SELECT level, n, CAST(SUM(n) OVER (ORDER BY level) * 31 // SUM(n) OVER () AS BIGINT) AS bin FROM h",
+    "edge_rank": _R4 + " SELECT edge_id, rank FROM r",
+    "rank_bins": _R4 + " SELECT rank // 1000 AS qrank, COUNT(*) AS n, MIN(alpha) AS lo, MAX(alpha) AS hi FROM r GROUP BY 1",
+    "tile_rank_hist": _R4
+    + """, t AS (SELECT rank // 1000 AS qrank, p0 // 64 // 100 * 4 + p0 % 64 // 16 AS t0, p1 // 64 // 100 * 4 + p1 % 64 // 16 AS t1 FROM r)
+SELECT t0 AS tile_id, qrank, COUNT(*) AS n FROM t WHERE t0 = t1 GROUP BY ALL""",
+    "tree_size_estimate": _H4
+    + f""", t AS (SELECT CAST(SUM(n) AS BIGINT) AS n_edges, SUM(CAST(n AS DOUBLE) * n) AS q FROM h),
+u AS (SELECT n_edges, SQRT((q - n_edges) / (CAST(n_edges AS DOUBLE) * (n_edges - 1))) AS nrmsd, (SELECT CAST(COUNT(*) AS DOUBLE) FROM g) AS px FROM t)
+SELECT n_edges, ROUND(nrmsd, 9) AS nrmsd, ROUND(CASE WHEN px < {S.SIZE_LEAST} THEN 10 + n_edges + px ELSE LEAST(2 * px, 2 * px * ({S.SIZE_A} * EXP({S.SIZE_SIGMA} * nrmsd) + {S.SIZE_B} + {S.SIZE_MARGIN})) END, 3) AS estimate FROM u""",
+    "min_incident_edge": _E4
+    + """, i AS (SELECT p0 AS p, edge_id, alpha FROM e UNION ALL SELECT p1, edge_id, alpha FROM e)
+SELECT p, edge_id, alpha FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p ORDER BY alpha, edge_id) AS k FROM i) WHERE k = 1""",
+    "edge_minmax": _E4
+    + """ SELECT COUNT(*) AS n, MIN(alpha) AS min_alpha, MAX(alpha) AS max_alpha,
+  MIN(edge_id) FILTER (alpha = (SELECT MIN(alpha) FROM e)) AS min_edge, MIN(edge_id) FILTER (alpha = (SELECT MAX(alpha) FROM e)) AS max_edge FROM e""",
+    "level_quantile": _H4 + ", c AS (SELECT level, SUM(n) OVER (ORDER BY level) AS cum, SUM(n) OVER () AS t FROM h) SELECT MIN(level) AS level FROM c WHERE cum > t * 0.3::DOUBLE",
+    "line_graph": _SE + ", i AS (SELECT p0 AS p, edge_id, alpha FROM e UNION ALL SELECT p1, edge_id, alpha FROM e) SELECT a.edge_id AS e0, b.edge_id AS e1, GREATEST(a.alpha, b.alpha) AS alpha FROM i a JOIN i b USING (p) WHERE a.edge_id < b.edge_id",
+    "availability": f"WITH {_GRID}, m AS (SELECT MAX(vec_id) AS h FROM embeddings) SELECT {_MASK} AS mask, COUNT(*) AS n FROM g, m GROUP BY 1",
+    "random_samples_range": "SELECT * FROM (VALUES (1, 4096, 0), (8, 4096, 0), (12, 4096, 0), (16, 4096, 0), (32, 4096, 0)) t(bits, n, outside)",
+    "acc_labels_t": _AT + " SELECT p, label FROM lab",
+    "acc_attributes_t": _AT + " SELECT label, COUNT(*) AS area, SUM(v) AS sum_pix, MIN(v) AS min_pix, MAX(v) AS max_pix FROM lab JOIN s USING (p) GROUP BY label",
+    **{f"hierarchy_nodes{k}": _NODES for k in ("", "_tiled", "_rank_bins", "_boruvka", "_levels")},
+    "area_filter": _CC + " SELECT p, MIN(t) AS value FROM cc WHERE n >= 25 GROUP BY p",
+    "level_filter": _CC
+    + f""", node AS (SELECT lab, n, MIN(t) AS alpha FROM cc GROUP BY lab, n),
+mine AS (SELECT DISTINCT c.p, c.n, node.alpha FROM cc c JOIN node USING (lab, n)),
+top AS (SELECT MAX(alpha) AS a FROM node WHERE n = {CROP**2})
+SELECT p, COALESCE(MIN(n) FILTER (alpha >= 0.2::DOUBLE * a), MAX(n)) AS value FROM mine, top GROUP BY p""",
+    "flat_partition": _AT + " SELECT p, label FROM lab",
+    "common_ancestors": _CC + f" SELECT q, MIN(t) AS alpha FROM reach WHERE p = 0 AND q BETWEEN 1 AND {CROP - 1} GROUP BY q",
+    "mst_edges": _RANKED
+    + """, reach AS (SELECT k, p0 AS q FROM o UNION SELECT r.k, w.q FROM reach r JOIN w ON w.p = r.q AND w.k < r.k)
+SELECT edge_id, alpha FROM o WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.k = o.k AND r.q = o.p1)""",
+    "redundant_edges": _SE
+    + """, o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY alpha, edge_id) AS k, p0 // 16 // 8 * 2 + p0 % 16 // 8 AS t0, p1 // 16 // 8 * 2 + p1 % 16 // 8 AS t1 FROM e),
+w AS (SELECT p0 AS p, p1 AS q, k FROM o WHERE t0 = t1 UNION ALL SELECT p1, p0, k FROM o WHERE t0 = t1),
+reach AS (SELECT k, p0 AS q FROM o WHERE t0 = t1 UNION SELECT r.k, w.q FROM reach r JOIN w ON w.p = r.q AND w.k < r.k)
+SELECT edge_id FROM o WHERE t0 = t1 AND EXISTS (SELECT 1 FROM reach r WHERE r.k = o.k AND r.q = o.p1)""",
+    "strategies_agree": "SELECT * FROM (VALUES ('tiled', 0), ('rank_bins', 0), ('boruvka', 0)) t(strategy, mismatches)",
+}
