@@ -109,6 +109,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A checkpoint without the size that was estimated for it: joins multiply sizes, and in a loop the estimate's digits would double with each round."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again; the files go when the program ends."""
     spark = df.sparkSession
@@ -150,7 +156,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         large = both.join(least, "u").where("v >= u or v = m").select(F.greatest("u", "v").alias("u"), "m").where("u > m").distinct()
         least = large.groupBy("u").agg(F.min("m").alias("t"))
         then = large.join(least, "u").select(F.when(F.col("m") == F.col("t"), F.col("u")).otherwise(F.col("m")).alias("u"), F.col("t").alias("v"))
-        pairs = checkpoint(then.where("u <> v").distinct())
+        pairs = unsized(checkpoint(then.where("u <> v").distinct()))
         now = signature(pairs)
         if was == now:
             break
