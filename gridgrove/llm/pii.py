@@ -85,11 +85,16 @@ def number(bits: Column, i: Column | int) -> Column:
 
 
 def same_form(value: Column, bits: Column, keep: int = 0) -> Column:
-    """Digits for digits, small and capital letters for theirs; the first `keep` characters and all else stay."""
+    """Other digits for digits, other small and capital letters for theirs; the first `keep` characters and all else stay."""
 
     def swap(c, i):
-        n = number(bits, i)
-        return F.when((i < keep) | ~c.rlike("^[0-9A-Za-z]$"), c).when(c.rlike("^[0-9]$"), (n % 10).cast("string")).when(c.rlike("^[a-z]$"), F.char(97 + n % 26)).otherwise(F.char(65 + n % 26))
+        n, code = number(bits, i), F.ascii(c)
+        return (
+            F.when((i < keep) | ~c.rlike("^[0-9A-Za-z]$"), c)
+            .when(c.rlike("^[0-9]$"), ((code - 47 + n % 9) % 10).cast("string"))
+            .when(c.rlike("^[a-z]$"), F.char(97 + (code - 96 + n % 25) % 26))
+            .otherwise(F.char(65 + (code - 64 + n % 25) % 26))
+        )
 
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), swap), "")
 
