@@ -137,6 +137,16 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def sample_ids(ids: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows of ids, those of the smallest hashes of the key.
+
+    Rows are first thinned by hash to twice as many as asked for, on average, so that tasks send few of them on.
+    """
+    share = min(1.0, 2 * most / max(1, ids.count()))
+    unit = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return ids.where(unit <= share).orderBy(unit, key).limit(most)
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs semi- or anti-joined with ids; ids are broadcast only when counted to be few."""
     return docs.join(F.broadcast(ids) if small(ids, broadcast_rows) else ids, key, how)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgrove.llm.common import pieces, read
+from gridgrove.llm.common import pieces, read, sample_ids
 
 PATH = 48  # hashed places of tags on a block's path
 HINTS = 32  # hashed places of words in class, id and role of the path's elements
@@ -381,8 +381,10 @@ def main_text(model: BiLstm, reader: Reader, pages: list[str | None], threshold:
 
 
 def sample_words(pages: DataFrame, html: str, key: str, most: int = WORDS_FROM) -> list[str]:
-    """Words of at most `most` pages, at most 20,000 of them."""
-    rows = pages.where(F.col(html).isNotNull()).orderBy(F.xxhash64(key), key).select(F.substring(html, 1, 20_000)).limit(most).collect()
+    """Words of at most 2 * most rows of at most `most` pages, at most 20,000 words; only training pages are made of them."""
+    there = pages.where(F.col(html).isNotNull() & F.col(key).isNotNull())
+    chosen = sample_ids(there.select(key), key, most).distinct()
+    rows = there.join(F.broadcast(chosen), key).select(F.substring(html, 1, 20_000)).limit(2 * most).collect()
     return [w for (h,) in rows for b in blocks(h) for w in b.text.split()][:20_000]
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridgrove.llm.common import fold, pieces, read
+from gridgrove.llm.common import fold, pieces, read, sample_ids
 
 BITS = 20
 MAX_TRAIN = 10_000  # labelled documents that the weights are fitted on, chosen by hash of their id
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text:
     an id, the largest counts; of several rows of an id, each is learned from. One task fits the weights.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64(key), key).limit(max_train)
+    chosen = sample_ids(chosen, key, max_train)
     # at most max_train pairs of integers
     rows = docs.select(F.col(key), F.col(text).alias("_t")).join(F.broadcast(chosen), key).orderBy(F.xxhash64(key), key, "_t").limit(2 * max_train).select("_t", "_y").coalesce(1)
 
