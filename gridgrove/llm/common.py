@@ -149,6 +149,7 @@ def sample_ids(ids: DataFrame, key: str, most: int) -> DataFrame:
 
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs semi- or anti-joined with ids; ids are broadcast only when counted to be few."""
+    ids = checkpoint(ids)
     return docs.join(F.broadcast(ids) if small(ids, broadcast_rows) else ids, key, how)
 
 

@@ -25,33 +25,32 @@ _WORD = re.compile(r"[^\W_]+")
 class Features:
     """Hashed features of texts: words, word beginnings, bigrams, and skip-grams over one word."""
 
-    def __init__(self, bits: int = BITS, most: int = 300_000):
-        self.mask, self.most, self.known = np.uint64((1 << bits) - 1), most, {}
+    def __init__(self, bits: int = BITS, most: int = 200_000):
+        self.mask, self.known = np.uint64((1 << bits) - 1), {}
+        self.hashes = np.empty((most, 1 + len(STEMS)), np.uint64)  # of the known words and their beginnings
 
     def _new(self, word: str) -> int:
         import xxhash
 
-        if len(self.known) >= self.most:
-            self.known.clear()
-            self.rows = []
-        if not self.known:
-            self.rows = []
+        k = len(self.known)
+        if k == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
         own = xxhash.xxh3_64_intdigest(word)
-        self.rows.append((own, *(xxhash.xxh3_64_intdigest(f"{word[:n]}*") if len(word) > n else own for n in STEMS)))
-        self.known[word] = k = len(self.rows) - 1
+        self.hashes[k] = (own, *(xxhash.xxh3_64_intdigest(f"{word[:n]}*") if len(word) > n else own for n in STEMS))
+        self.known[word] = k
         return k
 
     def of(self, texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(document, feature) pairs, each once, in order; only features that are wanted, where that is given."""
         found = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        if len(self.known) + sum(map(len, found)) > self.most:
+        if len(self.known) > len(self.hashes) // 2:
             self.known.clear()
         get, new = self.known.get, self._new
         ids = np.array([k if (k := get(w)) is not None else new(w) for f in found for w in f], np.int64)
         if not len(ids):
             return ids, ids
         doc = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(f) for f in found])
-        h = np.array(self.rows, np.uint64)[ids]
+        h = self.hashes[ids]
         out = []
 
         def add(doc: np.ndarray, feature: np.ndarray) -> None:
@@ -100,7 +99,8 @@ def fit(texts: list[str | None], labels: list[int], bits: int = BITS, epochs: in
     seen = np.zeros((1 << bits) + 1, np.int64)
     for d in docs:
         seen[d] += 1
-    docs = [d[(seen[d] >= min_docs) | (d == 1 << bits)] for d in docs]
+    for k, d in enumerate(docs):
+        docs[k] = d[(seen[d] >= min_docs) | (d == 1 << bits)]
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(docs)):
             model.learn(docs[k], labels[k])
