@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridgrove.functions.scalar import OFFSETS, check_connectivity, dissimilarity, edge_number, linear_level, log_level, rank_bin, size_curve, tile_of
 from gridgrove.functions.scalar import SIZE_LEAST
+from gridgrove.operators.lineage import shared_checkpoint
 from gridgrove.sources.grid import Grid
 
 
@@ -37,10 +38,12 @@ def ranked(found: DataFrame, parts: int | None = None) -> DataFrame:
     """Edges with a rank from 0 by (alpha, edge_id) within their image.
 
     The edges are range-partitioned; a partition's ranks begin after the counts of those before it, so that no image
-    is gathered in one task. Images may share partitions.
+    is gathered in one task. Images may share partitions. The partitions are written once: sampled anew, or coalesced
+    otherwise, a second use could have others.
     """
     order = ["image_id", "alpha", "edge_id"]
     placed = (found.repartitionByRange(parts, *order) if parts else found.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
+    placed = shared_checkpoint(placed)
     local = placed.withColumn("_local", F.row_number().over(Window.partitionBy("_part", "image_id").orderBy("alpha", "edge_id")) - 1)
     sizes = placed.groupBy("_part", "image_id").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("image_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,6 +174,16 @@ def tiled(found: DataFrame, width: int, tile_height: int, tile_width: int, rows:
     return found.withColumn("t0", tile("p0")).withColumn("t1", tile("p1"))
 
 
+def tile_histogram(with_tiles: DataFrame) -> DataFrame:
+    """(image_id, tile_id, level, n): edges within each tile by the whole part of alpha; with_tiles has t0 and t1."""
+    return with_tiles.where("t0 = t1").groupBy("image_id", F.col("t0").alias("tile_id"), linear_level(F.col("alpha")).alias("level")).agg(F.count("*").alias("n"))
+
+
+def tile_size_estimate(with_tiles: DataFrame, pixels: int) -> DataFrame:
+    """(image_id, tile_id, n_edges, nrmsd, estimate) of each tile of so many pixels."""
+    return size_estimate(tile_histogram(with_tiles), pixels, ("image_id", "tile_id"))
+
+
 def tile_rank_histogram(with_bins: DataFrame) -> DataFrame:
     """(image_id, tile_id, qrank, n): edges within each tile by their ranks' bin; with_bins has t0, t1 and qrank."""
     return with_bins.where("t0 = t1").groupBy("image_id", F.col("t0").alias("tile_id"), "qrank").agg(F.count("*").alias("n"))

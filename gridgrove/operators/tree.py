@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridgrove.functions.scalar import tile_grid, tile_of
 from gridgrove.operators.edges import both_ways, ranked
+from gridgrove.operators.lineage import shared_checkpoint
 from gridgrove.sources.grid import Grid
 
 EDGE = "image_id bigint, edge_id bigint, p0 bigint, p1 bigint, alpha float"
@@ -30,26 +31,6 @@ class Hierarchy:
     grid: Grid
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the session's shared folder.
-
-    A checkpoint keeps the size that was estimated for df, and joins multiply sizes: in a loop the estimate's digits would
-    double with each round. So the rows are taken over without it; the real sizes are known when a plan runs.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="shared-")
-        context.setCheckpointDir(folder)
-    done = df.checkpoint()
-    rows = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
-    return DataFrame(rows, spark)
-
-
 def _forest(p0: np.ndarray, p1: np.ndarray) -> np.ndarray:
     """Which of the edges, already in order, join two components: the places of the minimum spanning forest's edges."""
     pixels, ends = np.unique(np.concatenate([p0, p1]), return_inverse=True)

@@ -59,6 +59,15 @@ def tile_rank_hist(spark, sf_dir):
     return E.tile_rank_histogram(E.tiled(with_bins, grid.width, 100, 16, 1000000, 4)).drop("image_id")
 
 
+def _tiles(spark, sf_dir) -> DataFrame:
+    grid = _grid(spark, sf_dir)
+    return E.tiled(E.binned(E.ranked(E.edges(grid, 4)), 1000), grid.width, 250, 32, 1000000, 2)
+
+
+def tile_size_estimate(spark, sf_dir):
+    return E.tile_size_estimate(_tiles(spark, sf_dir), 12_000).select("tile_id", "n_edges", F.round("nrmsd", 9).alias("nrmsd"), F.round("estimate", 3).alias("estimate"))
+
+
 def tree_size_estimate(spark, sf_dir):
     grid = _grid(spark, sf_dir)
     return E.size_estimate(E.histogram(E.edges(grid, 4)), grid.size).select("n_edges", F.round("nrmsd", 9).alias("nrmsd"), F.round("estimate", 3).alias("estimate"))
@@ -167,6 +176,12 @@ QUERIES = {
     "edge_rank": lambda s, d: E.ranked(_found(s, d)).select("edge_id", "rank"),
     "rank_bins": rank_bins,
     "tile_rank_hist": tile_rank_hist,
+    "tile_hist": lambda s, d: E.tile_histogram(_tiles(s, d)).drop("image_id"),
+    "tile_bin_offsets": lambda s, d: E.bin_offsets(_tiles(s, d)).drop("image_id"),
+    "tile_largest_bin": lambda s, d: E.tile_largest_bin(_tiles(s, d)).drop("image_id"),
+    "tile_size_estimate": tile_size_estimate,
+    "histeq_hist": lambda s, d: E.equalised_histogram(_hist(s, d), 32).select("level", "n"),
+    "max_rank_edge": lambda s, d: E.largest_rank(E.ranked(_found(s, d))).select("p", "edge_id", "rank"),
     "tree_size_estimate": tree_size_estimate,
     "min_incident_edge": lambda s, d: E.least_incident(_found(s, d)).select("p", "edge_id", F.col("alpha").cast("double").alias("alpha")),
     "edge_minmax": lambda s, d: E.edge_range(_found(s, d)).select("n", F.col("min_alpha").cast("double").alias("min_alpha"), F.col("max_alpha").cast("double").alias("max_alpha"), "min_edge", "max_edge"),
@@ -221,6 +236,7 @@ _E4 = f"WITH {_GRID}, {_edge_sql('g', 64, 4)}"
 _E8 = f"WITH {_GRID}, {_edge_sql('g', 64, 8)}"
 _H4 = _E4 + ", h AS (SELECT CAST(FLOOR(alpha) AS BIGINT) AS level, COUNT(*) AS n FROM e GROUP BY 1)"
 _R4 = _E4 + ", r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY alpha, edge_id) - 1 AS rank FROM e)"
+_T4 = _R4 + ", t AS (SELECT *, p0 // 64 // 250 * 2 + p0 % 64 // 32 AS t0, p1 // 64 // 250 * 2 + p1 % 64 // 32 AS t1 FROM r)"
 _SE = f"WITH RECURSIVE {_SMALL}, {_edge_sql('s', CROP, 4)}"
 # All components at all levels: reach has every pixel that a pixel reaches at a level.
 _CC = (
@@ -256,6 +272,19 @@ SQL = {
     "tile_rank_hist": _R4
     + """, t AS (SELECT rank // 1000 AS qrank, p0 // 64 // 100 * 4 + p0 % 64 // 16 AS t0, p1 // 64 // 100 * 4 + p1 % 64 // 16 AS t1 FROM r)
 SELECT t0 AS tile_id, qrank, COUNT(*) AS n FROM t WHERE t0 = t1 GROUP BY ALL""",
+    "tile_hist": _T4 + " SELECT t0 AS tile_id, CAST(FLOOR(alpha) AS BIGINT) AS level, COUNT(*) AS n FROM t WHERE t0 = t1 GROUP BY ALL",
+    "tile_bin_offsets": _T4
+    + """, b AS (SELECT t0 AS tile_id, rank // 1000 AS qrank, COUNT(*) AS n FROM t WHERE t0 = t1 GROUP BY ALL)
+SELECT tile_id, qrank, n, CAST(COALESCE(SUM(n) OVER (ORDER BY tile_id, qrank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM b""",
+    "tile_largest_bin": _T4 + " SELECT t0 AS tile_id, MAX(rank // 1000) AS qrank FROM t WHERE t0 = t1 GROUP BY t0",
+    "tile_size_estimate": _T4
+    + f""", h AS (SELECT t0 AS tile_id, FLOOR(alpha) AS level, COUNT(*) AS n FROM t WHERE t0 = t1 GROUP BY ALL),
+u AS (SELECT tile_id, CAST(SUM(n) AS BIGINT) AS n_edges, SQRT((SUM(CAST(n AS DOUBLE) * n) - SUM(n)) / (CAST(SUM(n) AS DOUBLE) * (SUM(n) - 1))) AS nrmsd FROM h GROUP BY tile_id)
+SELECT tile_id, n_edges, ROUND(nrmsd, 9) AS nrmsd, ROUND(LEAST(24000, 24000 * ({S.SIZE_A} * EXP({S.SIZE_SIGMA} * nrmsd) + {S.SIZE_B} + {S.SIZE_MARGIN})), 3) AS estimate FROM u""",
+    "histeq_hist": _H4 + ", b AS (SELECT n, CAST(SUM(n) OVER (ORDER BY level) * 31 // SUM(n) OVER () AS BIGINT) AS bin FROM h) SELECT bin AS level, CAST(SUM(n) AS BIGINT) AS n FROM b GROUP BY bin",
+    "max_rank_edge": _R4
+    + """, i AS (SELECT p0 AS p, edge_id, rank FROM r UNION ALL SELECT p1, edge_id, rank FROM r)
+SELECT p, edge_id, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p ORDER BY rank DESC) AS k FROM i) WHERE k = 1""",
     "tree_size_estimate": _H4
     + f""", t AS (SELECT CAST(SUM(n) AS BIGINT) AS n_edges, SUM(CAST(n AS DOUBLE) * n) AS q FROM h),
 u AS (SELECT n_edges, SQRT((q - n_edges) / (CAST(n_edges AS DOUBLE) * (n_edges - 1))) AS nrmsd, (SELECT CAST(COUNT(*) AS DOUBLE) FROM g) AS px FROM t)
