@@ -26,6 +26,7 @@ ALGORITHMS = {
     "FloodHierHeapQueueNoCache": "kruskal",
     "FloodHeapQueueNaiveNoCache": "kruskal",
 }
+PART_PIXELS = 250_000
 NOT_BUILT = ("FloodHierQueueParalle", "FloodHierHeapQueuePar")
 
 
@@ -38,9 +39,10 @@ def strategy(algorithm: str) -> str:
     return ALGORITHMS[algorithm]
 
 
-def build_hierarchy(grid: Grid, connectivity: int = 4, metric: str | None = "L2", algorithm: str = "FloodHierHeapQueue", parts: int = 16, bins: int = 8) -> Hierarchy:
-    """The hierarchy of each of the grid's images."""
+def build_hierarchy(grid: Grid, connectivity: int = 4, metric: str | None = "L2", algorithm: str = "FloodHierHeapQueue", parts: int | None = None, bins: int = 8) -> Hierarchy:
+    """The hierarchy of each of the grid's images. Tiles, where no number of them is given, have about PART_PIXELS pixels."""
     check_connectivity(connectivity)
+    parts = parts or max(16, grid.size // PART_PIXELS)
     spanning = STRATEGIES[strategy(algorithm)]
     found = edges(grid, connectivity, metric)
     return build(grid, spanning(found, grid, parts=parts, bins=bins))
