@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridgrove.operators.tree import Hierarchy, pointer_jumped, shared_checkpoint
 
 
-def first_ancestor(tree: Hierarchy, stop: Column) -> DataFrame:
+def first_ancestor(tree: Hierarchy, stop: Column, one_task: bool = True) -> DataFrame:
     """(image_id, node_id, found_id): each node's first ancestor, itself included, where stop holds, or else its root.
 
-    stop must hold for all ancestors of a node where it holds. Pointers are moved on in rounds, whose number is far below the depth.
+    stop must hold for all ancestors of a node where it holds. Two numbers a node of an image go to one task, as all its nodes
+    were made in one; with one_task=False pointers are moved on by joins instead, in rounds whose number is far below the depth.
     """
-    jump = shared_checkpoint(tree.nodes.select("image_id", "node_id", F.when(F.coalesce(stop, F.lit(False)) | F.col("parent_id").isNull(), F.col("node_id")).otherwise(F.col("parent_id")).alias("to")))
-    return pointer_jumped(jump, "node_id").select("image_id", "node_id", F.col("to").alias("found_id"))
+    here = F.coalesce(stop, F.lit(False)) | F.col("parent_id").isNull()
+    jump = tree.nodes.select("image_id", "node_id", F.when(here, F.col("node_id")).otherwise(F.col("parent_id")).alias("to"))
+    if not one_task:
+        return pointer_jumped(shared_checkpoint(jump), "node_id").select("image_id", "node_id", F.col("to").alias("found_id"))
+
+    def resolve(part: pd.DataFrame) -> pd.DataFrame:
+        nodes = part.node_id.to_numpy()
+        order = np.argsort(nodes)
+        to = order[np.searchsorted(nodes, part.to.to_numpy(), sorter=order)]
+        while (to != to[to]).any():
+            to = to[to]
+        return pd.DataFrame({"image_id": part.image_id, "node_id": nodes, "found_id": nodes[to]})
+
+    return jump.groupBy("image_id").applyInPandas(resolve, "image_id bigint, node_id bigint, found_id bigint")
 
 
 def roots(tree: Hierarchy) -> DataFrame:

@@ -127,7 +127,7 @@ NODE = "image_id bigint, node_id bigint, alpha float, min_p bigint, area bigint,
 
 
 def build(grid: Grid, spanning: DataFrame) -> Hierarchy:
-    """The hierarchy from each image's spanning tree, in one task an image.
+    """The hierarchy from each image's spanning tree, or from edges that hold it, in one task an image.
 
     Pixels and edges come as one grouped table. Nodes and leaves come back as one table, which is kept in the
     shared folder, so that the build runs once.
@@ -150,32 +150,32 @@ def build(grid: Grid, spanning: DataFrame) -> Hierarchy:
     return Hierarchy(made.where("not leaf").drop("leaf"), made.where("leaf").select("image_id", F.col("min_p").alias("p"), "node_id"), grid)
 
 
-def spanning_kruskal(found: DataFrame, grid: Grid, **_) -> DataFrame:
-    """One task an image takes all its edges in order."""
-    return local_forest(found, "image_id")
+COLUMNS = ("image_id", "edge_id", "p0", "p1", "alpha")
 
 
-def spanning_tiled(found: DataFrame, grid: Grid, parts: int = 16, **_) -> DataFrame:
-    """Tiles first: edges within a tile shrink to its forest, and tiles are doubled in size until one is left.
+def spanning_kruskal(found: DataFrame, grid: Grid, whole: bool = True, **_) -> DataFrame:
+    """One task an image takes all its edges in order. Where the whole tree isn't asked for, edges that close cycles may be left to the build."""
+    return local_forest(found, "image_id") if whole else found.select(*COLUMNS)
 
-    An edge that is on no tile's minimum spanning forest is the heaviest of a cycle, and not in the whole tree.
+
+def spanning_tiled(found: DataFrame, grid: Grid, parts: int = 16, whole: bool = True, **_) -> DataFrame:
+    """Tiles first: edges within a tile shrink to its forest, side by side, and meet the edges between tiles in one task an image.
+
+    An edge that is on no tile's minimum spanning forest is the heaviest of a cycle, and not in the whole tree. Tiles' forests and
+    the edges between tiles are about as many as pixels, so that coarser tiles in between would not shrink them further.
     """
     rows, columns = tile_grid(grid.height, grid.width, parts)
-    while True:
-        th, tw = -(-grid.height // rows), -(-grid.width // columns)
+    th, tw = -(-grid.height // rows), -(-grid.width // columns)
 
-        def tile(p: str, th=th, tw=tw, rows=rows, columns=columns):
-            return tile_of(F.floor(F.col(p) / grid.width), F.col(p) % grid.width, th, tw, rows, columns)
+    def tile(p: str):
+        return tile_of(F.floor(F.col(p) / grid.width), F.col(p) % grid.width, th, tw, rows, columns)
 
-        placed = found.select("image_id", "edge_id", "p0", "p1", "alpha", tile("p0").alias("t"), tile("p1").alias("u"))
-        inner = local_forest(placed.where("t = u"), "image_id", "t")
-        if rows * columns == 1:
-            return inner
-        found = inner.union(placed.where("t <> u").select("image_id", "edge_id", "p0", "p1", "alpha"))
-        rows, columns = -(-rows // 2), -(-columns // 2)
+    placed = found.select(*COLUMNS, tile("p0").alias("t"), tile("p1").alias("u"))
+    left = local_forest(placed.where("t = u"), "image_id", "t").union(placed.where("t <> u").select(*COLUMNS))
+    return local_forest(left, "image_id") if whole else left
 
 
-def spanning_ranked(found: DataFrame, grid: Grid, bins: int = 8, **_) -> DataFrame:
+def spanning_ranked(found: DataFrame, grid: Grid, bins: int = 8, whole: bool = True, **_) -> DataFrame:
     """Bins of the edges' ranks: each bin's forest by itself, and then the image's.
 
     A bin's cycles lose their heaviest edges wherever the other bins' edges are; what is left of all bins is a fraction of the edges.
@@ -183,7 +183,8 @@ def spanning_ranked(found: DataFrame, grid: Grid, bins: int = 8, **_) -> DataFra
     with_ranks = ranked(found)
     size = max(1, -(-(grid.size * 4) // bins))
     placed = with_ranks.withColumn("b", F.floor(F.col("rank") / size).cast("bigint"))
-    return local_forest(local_forest(placed, "image_id", "b"), "image_id")
+    left = local_forest(placed, "image_id", "b")
+    return local_forest(left, "image_id") if whole else left
 
 
 def pointer_jumped(jump: DataFrame, node: str = "c") -> DataFrame:

@@ -27,6 +27,7 @@ ALGORITHMS = {
     "FloodHeapQueueNaiveNoCache": "kruskal",
 }
 PART_PIXELS = 250_000
+ONE_TASK = 1_000_000  # pixels up to which `auto` takes an image's edges in one task
 NOT_BUILT = ("FloodHierQueueParalle", "FloodHierHeapQueuePar")
 
 
@@ -40,9 +41,9 @@ def strategy(algorithm: str) -> str:
 
 
 def build_hierarchy(grid: Grid, connectivity: int = 4, metric: str | None = "L2", algorithm: str = "FloodHierHeapQueue", parts: int | None = None, bins: int = 8) -> Hierarchy:
-    """The hierarchy of each of the grid's images. Tiles, where no number of them is given, have about PART_PIXELS pixels."""
+    """The hierarchy of each of the grid's images. `auto` chooses by the images' size. Tiles, where no number of them is given, have about PART_PIXELS pixels."""
     check_connectivity(connectivity)
     parts = parts or max(16, grid.size // PART_PIXELS)
-    spanning = STRATEGIES[strategy(algorithm)]
+    name = ("kruskal" if grid.size <= ONE_TASK else "tiled") if algorithm == "auto" else strategy(algorithm)
     found = edges(grid, connectivity, metric)
-    return build(grid, spanning(found, grid, parts=parts, bins=bins))
+    return build(grid, STRATEGIES[name](found, grid, parts=parts, bins=bins, whole=False))

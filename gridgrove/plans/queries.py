@@ -17,7 +17,7 @@ CROP, STEP, LEVEL = 16, 16, 1.0
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pixel's level where its component covers a hundredth of the image."""
-    return Q.area_filter(build_hierarchy(embeddings_grid(spark, sf_dir), algorithm="FloodHierQueueParallel"), 0.01)
+    return Q.area_filter(build_hierarchy(embeddings_grid(spark, sf_dir), algorithm="auto"), 0.01)
 
 
 def _grid(spark, sf_dir, channels: int = 1) -> Grid:

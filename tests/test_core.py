@@ -156,6 +156,8 @@ def test_labels_equal_the_trees(spark):
     tree = build_hierarchy(grid, 4)
     for level in (0.0, 1.0, 2.0):
         assert sorted(map(tuple, T.component_labels(found, grid.pixels, level).collect())) == sorted(map(tuple, Q.flat_partition(tree, level).collect()))
+    for stop in (F.col("area") >= 9, F.col("alpha") >= 2):
+        assert sorted(map(tuple, Q.first_ancestor(tree, stop).collect())) == sorted(map(tuple, Q.first_ancestor(tree, stop, one_task=False).collect()))
     assert sorted(map(tuple, Q.rolled_up(tree).collect())) == sorted(map(tuple, tree.nodes.select("image_id", "node_id", "area", "sum_pix").collect()))
     left = E.edges(grid, 4).join(T.redundant(found, 4, grid).select("image_id", "edge_id"), ["image_id", "edge_id"], "left_anti")
     assert nodes_of(T.build(grid, T.spanning_kruskal(left, grid))) == nodes_of(tree)
