@@ -239,11 +239,14 @@ def spanning_boruvka(found: DataFrame, grid: Grid, **_) -> DataFrame:
     return shared_checkpoint(_merged(*_unmerged(found))[1])
 
 
-def spanning_levels(found: DataFrame, grid: Grid, most: int = 64, **_) -> DataFrame:
-    """One level after the other, for up to `most` distinct weights: the edges of a level join the components of those below."""
+def spanning_levels(found: DataFrame, grid: Grid, most: int = 64, bins: int = 8, **_) -> DataFrame:
+    """One level after the other, for up to `most` distinct weights: the edges of a level join the components of those below.
+
+    More weights are taken in about `bins` ranges of levels, each in rounds until its edges join no two components.
+    """
     levels = [r[0] for r in found.select("alpha").distinct().orderBy("alpha").limit(most + 1).collect()]
     if len(levels) > most:
-        raise ValueError(f"level after level is for at most {most} distinct weights")
+        levels = [*sorted(set(found.approxQuantile("alpha", [k / bins for k in range(1, bins)], 0.25 / bins))), None]
     left, tree = _unmerged(found)
     for level in levels:
         left, tree = _merged(left, tree, level)

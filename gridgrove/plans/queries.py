@@ -73,29 +73,29 @@ def tree_size_estimate(spark, sf_dir):
     return E.size_estimate(E.histogram(E.edges(grid, 4)), grid.size).select("n_edges", F.round("nrmsd", 9).alias("nrmsd"), F.round("estimate", 3).alias("estimate"))
 
 
-def line_graph(spark, sf_dir):
-    return E.line_graph(E.edges(_small(spark, sf_dir), 4)).select("e0", "e1", F.col("alpha").cast("double").alias("alpha"))
+def line_graph(spark, sf_dir, of=_small):
+    return E.line_graph(E.edges(of(spark, sf_dir), 4)).select("e0", "e1", F.col("alpha").cast("double").alias("alpha"))
 
 
-def acc_labels(spark, sf_dir):
-    grid = _small(spark, sf_dir)
+def acc_labels(spark, sf_dir, of=_small):
+    grid = of(spark, sf_dir)
     return T.component_labels(E.edges(grid, 4), grid.pixels, LEVEL).select("p", "label")
 
 
-def acc_attributes(spark, sf_dir):
-    grid = _small(spark, sf_dir)
+def acc_attributes(spark, sf_dir, of=_small):
+    grid = of(spark, sf_dir)
     labels = T.component_labels(E.edges(grid, 4), grid.pixels, LEVEL)
     own = labels.join(grid.pixels, ["image_id", "p"]).withColumn("s", F.get("v", F.lit(0)))
     return own.groupBy("label").agg(F.count("*").alias("area"), F.sum("s").alias("sum_pix"), F.min("s").alias("min_pix"), F.max("s").alias("max_pix"))
 
 
-def _tree(spark, sf_dir, algorithm: str = "FloodHierHeapQueue"):
-    return build_hierarchy(_small(spark, sf_dir), 4, algorithm=algorithm, parts=4, bins=3)
+def _tree(spark, sf_dir, of=_small, algorithm: str = "FloodHierHeapQueue"):
+    return build_hierarchy(of(spark, sf_dir), 4, algorithm=algorithm, parts=4, bins=3)
 
 
 def hierarchy_nodes(algorithm: str):
-    def query(spark, sf_dir):
-        return _tree(spark, sf_dir, algorithm).nodes.select("min_p", "area", F.col("alpha").cast("double").alias("alpha"))
+    def query(spark, sf_dir, of=_small):
+        return _tree(spark, sf_dir, of, algorithm).nodes.select("min_p", "area", F.col("alpha").cast("double").alias("alpha"))
 
     return query
 
@@ -104,29 +104,29 @@ def area_filter(spark, sf_dir):
     return Q.area_filter(_tree(spark, sf_dir), 25 / CROP**2).select("p", "value")
 
 
-def level_filter(spark, sf_dir):
-    return Q.level_filter(_tree(spark, sf_dir), 0.2).select("p", F.col("value").cast("bigint").alias("value"))
+def level_filter(spark, sf_dir, of=_small):
+    return Q.level_filter(_tree(spark, sf_dir, of), 0.2).select("p", F.col("value").cast("bigint").alias("value"))
 
 
-def flat_partition(spark, sf_dir):
-    return Q.flat_partition(_tree(spark, sf_dir), LEVEL).select("p", "label")
+def flat_partition(spark, sf_dir, of=_small):
+    return Q.flat_partition(_tree(spark, sf_dir, of), LEVEL).select("p", "label")
 
 
-def common_ancestors(spark, sf_dir):
+def common_ancestors(spark, sf_dir, of=_small):
     """The level that joins each pixel of the first line to the first pixel."""
-    tree = _tree(spark, sf_dir)
+    tree = _tree(spark, sf_dir, of)
     pairs = tree.grid.pixels.where("y = 0 and x > 0").select("image_id", F.lit(0).cast("bigint").alias("p"), F.col("p").alias("q"))
     return Q.common_ancestor(tree, pairs).select("q", F.col("alpha").cast("double").alias("alpha"))
 
 
-def mst_edges(spark, sf_dir):
-    grid = _small(spark, sf_dir)
+def mst_edges(spark, sf_dir, of=_small):
+    grid = of(spark, sf_dir)
     return T.spanning_tiled(E.edges(grid, 4), grid, parts=4).select("edge_id", F.col("alpha").cast("double").alias("alpha"))
 
 
-def strategies_agree(spark, sf_dir):
+def strategies_agree(spark, sf_dir, of=lambda spark, sf_dir: _grid(spark, sf_dir).crop(64, 64)):
     """How many nodes of each strategy the others don't have: none."""
-    grid = _grid(spark, sf_dir).crop(64, 64)
+    grid = of(spark, sf_dir)
     plain = T.shared_checkpoint(build_hierarchy(grid, 8, algorithm="kruskal").nodes)
     rows = []
     for name in ("tiled", "rank_bins", "boruvka"):
@@ -140,8 +140,8 @@ def area_filter_whole(spark, sf_dir):
     return flagship(spark, sf_dir).select("p", "value")
 
 
-def redundant_edges(spark, sf_dir):
-    grid = _small(spark, sf_dir)
+def redundant_edges(spark, sf_dir, of=_small):
+    grid = of(spark, sf_dir)
     return T.redundant(E.edges(grid, 4), 4, grid).select("edge_id")
 
 
@@ -206,6 +206,10 @@ QUERIES = {
     "area_filter_whole": area_filter_whole,
 }
 
+# The queries above that read a corner, for SQL's sake, over the whole image with all its levels; area_filter_whole is their twin of the area filter.
+_CORNER = ("line_graph", "acc_labels_t", "acc_attributes_t", "hierarchy_nodes", "hierarchy_nodes_tiled", "hierarchy_nodes_rank_bins", "hierarchy_nodes_boruvka", "hierarchy_nodes_levels", "level_filter", "flat_partition", "common_ancestors", "mst_edges", "redundant_edges", "strategies_agree")
+QUERIES |= {f"{name}_whole": lambda s, d, f=QUERIES[name]: f(s, d, _grid) for name in _CORNER}
+
 _GRID = """g AS (
   SELECT CAST(vec_id AS BIGINT) AS y, CAST(i - 1 AS BIGINT) AS x, CAST(vec_id * 64 + i - 1 AS BIGINT) AS p,
     GREATEST(0.0::DOUBLE, LEAST(255.0::DOUBLE, FLOOR((CAST(embedding[i] AS DOUBLE) + 0.5) * 256))) AS v
