@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridgrove.llm.common import checkpoint, small
 
-MOST_RATE = 500.0
+MOST_RATE = 500.0  # up to which probabilities are summed from 0 copies on, and which given weights may not pass
 
 
 def uniform(seed: int, *columns: Column) -> Column:
@@ -16,13 +18,25 @@ def uniform(seed: int, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
+def around_mode(rate: float) -> tuple[int, np.ndarray]:
+    """The Poisson distribution's cumulative probabilities from `first` copies on, for a mean whose exp(-mean) may be no double.
+
+    Terms are taken in log space, and then in proportion to their sum; below `first` and after the last are under 1e-30 of it.
+    """
+    spread = 12 * np.sqrt(rate) + 30
+    first, last = max(0, int(rate - spread)), int(np.ceil(rate + spread))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(rate / np.arange(first + 1, last + 1)))])
+    c = np.cumsum(np.exp(logs - logs.max()))
+    return first, c / c[-1]
+
+
 def target_rates(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, budget: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
     """(source, size, rate, cdf): the mean number of copies of a source's documents.
 
     The mix has `budget` times the corpus' code points, of which a source gets the share of its weight:
     that in `weights` (source, weight), 0 where it is missing there, or else its size raised to `power`.
-    A source without text has rate 0. cdf holds the Poisson distribution's cumulative probabilities.
-    A rate over 500 raises an error: so many repetitions are a mistake in the weights.
+    A source without text has rate 0. cdf holds the Poisson distribution's cumulative probabilities, from `first` copies on.
+    A rate over 500 under given weights raises an error: so many repetitions are a mistake in them. Weights by size may come to any rate.
     """
     size = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).cast("bigint").alias("size"))
     if weights is None:
@@ -34,15 +48,27 @@ def target_rates(docs: DataFrame, weights: DataFrame | None = None, power: float
     total = sized.agg(F.sum("size").cast("double").alias("total"), F.sum("weight").alias("weights")).first()
     share = F.lit(float(budget)) * F.lit(total["total"] or 0.0) * F.col("weight") / F.lit(total["weights"] or 1.0)
     rates = sized.withColumn("rate", F.when(F.col("size") > 0, share / F.col("size")).otherwise(F.lit(0.0)))
-    if rates.where(F.col("rate") > MOST_RATE).limit(1).count():
+    if weights is not None and rates.where(F.col("rate") > MOST_RATE).limit(1).count():
         raise ValueError(f"a source's mean repetition rate is over {MOST_RATE:g}")
+    few = rates.where(F.col("rate") <= MOST_RATE)
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     step = F.aggregate(
         F.sequence(F.lit(1), last),
         F.struct(F.exp(-F.col("rate")).alias("p"), F.exp(-F.col("rate")).alias("c"), F.array(F.exp(-F.col("rate"))).alias("all")),
         lambda s, k: F.struct((s["p"] * F.col("rate") / k).alias("p"), (s["c"] + s["p"] * F.col("rate") / k).alias("c"), F.concat(s["all"], F.array(s["c"] + s["p"] * F.col("rate") / k)).alias("all")),
     )
-    return checkpoint(rates.select("source", "size", "rate", step["all"].alias("cdf")))
+    out = few.select("source", "size", "rate", step["all"].alias("cdf"), F.lit(0).cast("bigint").alias("first"))
+    many = rates.where(F.col("rate") > MOST_RATE)
+    if not small(many, 0):
+
+        def run(parts):
+            for part in parts:
+                made = [around_mode(r) for r in part["rate"]]
+                yield pd.DataFrame({"source": part["source"], "size": part["size"], "rate": part["rate"], "cdf": [c for _, c in made], "first": [f for f, _ in made]})
+
+        kind = dict(rates.dtypes)["source"]
+        out = out.union(many.select("source", "size", "rate").mapInPandas(run, f"source {kind}, size bigint, rate double, cdf array<double>, first bigint"))
+    return checkpoint(out)
 
 
 def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, budget: float = 1.0, seed: int = 17, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -55,11 +81,11 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, power: float
     where Spark splits the partitions of a hot source.
     """
     rates = target_rates(docs, weights, power, budget, source, text)
-    rates = rates.select(F.col("source").alias("_s"), F.col("cdf").alias("_cdf"))
+    rates = rates.select(F.col("source").alias("_s"), F.col("cdf").alias("_cdf"), F.col("first").alias("_first"))
     rates = F.broadcast(rates) if small(rates, 50_000) else rates
     docs = docs.drop("replica", "n_copies", "shuffle_key")
     drawn = docs.join(rates, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_u", uniform(seed, F.col(key)))
-    drawn = drawn.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("n_copies > 0").drop("_s", "_cdf", "_u")
+    drawn = drawn.withColumn("n_copies", (F.col("_first") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).cast("int")).where("n_copies > 0").drop("_s", "_cdf", "_first", "_u")
     copies = drawn.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     parts = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, "replica"))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), *parts)))
