@@ -31,7 +31,10 @@ _FEMALE = "^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа|Κυρία
 _HONORIFIC = r"^(?:Mrs|Mr|Ms|Miss|Herrn|Herr|Frau|Señora|Señor|Sra|Monsieur|Madame|Mme|Госпожа|Господин|Κυρία|Κύριος)\.? "
 # What any entity holds: two digits, an at sign, or a part of an honorific.
 SIGNS = "[0-9][0-9.]|@|Mr|Ms|Miss|Herr|Frau|Señor|Sra|Monsieur|Madame|Mme|Госпо|Κυρ|Κύρ"
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# A card number or IBAN may begin and end at any group of a longer run, as beside a CVV: its check digits tell which groups are its own.
+_BEFORE = {"iban": "(?<![A-Za-z0-9])", "card": r"(?<![A-Za-z0-9.]|(?<![0-9])-)"}
+_AFTER = {"iban": "(?![A-Za-z0-9])", "card": r"(?![A-Za-z0-9]|\.[0-9])"}
+_RUN = {"iban": "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "card": "[0-9](?:[ -]?[0-9]){12,18}"}
 
 # Syllables of made-up names by script, and what a name ends in by gender.
 _SYLLABLES = {
@@ -153,14 +156,37 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     )
 
 
-def found_in(text: Column) -> Column:
+def checked(text: Column, kind: str) -> Column:
+    """The distinct values of a text, at all groups of its runs, that have right check digits; of those with one beginning the longest is first."""
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{_BEFORE[kind]}(?=({_RUN[kind]}){_AFTER[kind]})"), F.lit(1)))
+
+    def heads(v):
+        ends = F.filter(F.sequence(F.lit(12), F.length(v)), lambda e: ~F.substring(v, e + 1, F.lit(1)).rlike("[A-Z0-9]"))
+        return F.transform(ends, lambda e: F.substring(v, F.lit(1), e))
+
+    right = F.filter(F.array_distinct(F.flatten(F.transform(runs, heads))), lambda v: v.rlike(f"^{_RUN[kind]}$") & valid(F.lit(kind), v))
+    return F.when(text.rlike(_RUN[kind]), F.sort_array(right, asc=False)).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def any_of(text: Column) -> Column:
+    """A pattern of all entities of a text: of cards and IBANs the very values with right check digits, so that no others hide what is within them."""
+
+    def own(kind: str) -> Column:
+        return F.transform(checked(text, kind), lambda v: F.concat(F.lit(f"(?:{_BEFORE[kind]}"), v, F.lit(f"{_AFTER[kind]})")))
+
+    plain = {k: F.lit(f"(?:{p})") for k, p in PATTERNS.items()}
+    return F.concat_ws("|", *(own(k) if k in _RUN else plain[k] for k in PATTERNS))
+
+
+def found_in(text: Column, pattern: Column) -> Column:
     """Entity-like values in the order of the text; the patterns are tried only where their first signs are."""
-    return F.when(text.rlike(SIGNS), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.when(text.rlike(SIGNS), F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, kind, value): every distinct valid entity of each document."""
-    rows = docs.select(F.col(key).alias("id"), F.explode(F.array_distinct(found_in(F.col(text)))).alias("value")).withColumn("kind", entity_type(F.col("value")))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), any_of(F.col(text)).alias("any"))
+    rows = rows.select("id", F.explode(F.array_distinct(found_in(F.col("t"), F.col("any")))).alias("value")).withColumn("kind", entity_type(F.col("value")))
     return rows.where(valid(F.col("kind"), F.col("value"))).select("id", "kind", "value")
 
 
@@ -204,7 +230,8 @@ def pseudonymise(docs: DataFrame, secret: str = KEY, key: str = "doc_id", text:
     extra = F.broadcast(extra) if small(extra, BROADCAST) else extra
     rows = docs.join(extra, F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
     t = F.col(text)
-    found, between = found_in(t), F.split(t, ANY, -1)
+    rows = rows.withColumn("_any", any_of(t))
+    found, between = found_in(t, F.col("_any")), F.split(t, F.col("_any"), -1)
 
     def swap(v):
         kind = entity_type(v)
