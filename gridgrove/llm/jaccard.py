@@ -7,9 +7,9 @@ equal part that isn't empty are candidates. Up to SINGLE shingles every shingle
 pair always has an equal part. Above, p is chosen such that a part is equal and not empty for a similar
 pair with a probability of 0.36 at least, and SKETCH parts are compared: the chance that a pair is missed is under 1e-9.
 
-Equal sets are one class from the start. A part shared by more than GROUP classes is crowded, and is left out for every class
-that has enough other parts to meet each similar class in one of them (COLD; the chance that none of them is common is under 1e-8).
-Classes without enough, as the members of a large group of near copies, are compared with the smallest class of the group.
+Equal sets are one class from the start. A part shared by more than GROUP classes is crowded, and is left out only for a class
+that has more other parts than can differ from any similar class, so that it meets each of them in one of those for certain.
+The rest, as the members of a large group of near copies, are compared with the smallest class of the group.
 Where a crowded group still has several components, those are compared by a second sketch in tiles of many tasks: BITS bits,
 each the parity of the shingles hashed to it, whose Hamming distance is at most the symmetric difference. Only pairs of different
 components that this bound allows are verified by their texts, and so are all other candidates.
@@ -31,7 +31,6 @@ PERCENT = 75
 SINGLE = 32  # shingles up to which each is a part of its own
 SKETCH = 48  # parts of a larger document's sketch that are compared
 GROUP = 16  # classes with an equal part up to which all pairs are candidates
-COLD = 24  # parts shared by few that excuse a class from crowded ones
 BITS = 1024
 TILE = 2048  # classes of a crowded group that are compared with another such tile at once
 HUB = 500  # members that a class' text is sent to at once, about
@@ -200,11 +199,14 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return star.union(few).distinct()
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """The members of large groups that have too few parts outside such groups."""
+def crowded(members: DataFrame, percent: int) -> DataFrame:
+    """The members of large groups whose parts outside such groups may all differ from a similar class.
+
+    Of a set's n shingles at most n * (1 - s) aren't in a similar set, and at most n * (1 / s - 1) are in one of the two only.
+    """
     hot = members.where(F.col("c") > GROUP)
     held = hot.groupBy("id", "band").agg(F.count("*").alias("hot"), F.first("parts").alias("parts"), F.first("n").alias("n"))
-    short = held.where(F.expr(f"parts - hot < if(band = 0, n div 4 + 1, {COLD})")).select("id", "band")
+    short = held.where(F.expr(f"parts - hot <= n * {100 - percent} div if(band = 0, 100, {percent})")).select("id", "band")
     return hot.drop("hub", "hub_n", "c").join(short, ["id", "band"], "left_semi")
 
 
@@ -266,7 +268,7 @@ def similar_pairs(reps: DataFrame, docs: DataFrame, key: str, text: str, n: int,
     both = F.array(F.struct("band", "keys"), F.struct(F.col("band2").alias("band"), F.col("keys2").alias("keys")))
     each = reps.select("id", "n", F.explode(both).alias("x")).where("x.band >= 0").select("id", "n", "x.band", F.size("x.keys").alias("parts"), F.explode("x.keys").alias("k"))
     members = table(with_hubs(each), "parts")
-    again = table(with_hubs(crowded(members)), "crowded")
+    again = table(with_hubs(crowded(members, percent)), "crowded")
     pairs = candidates(members.where(F.col("c") <= GROUP), percent).union(candidates(again, percent)).distinct()
     pairs = checkpoint(allowed(pairs, reps, percent))
     hot = again.where(F.col("c") > GROUP).select("k", "id", "n")
