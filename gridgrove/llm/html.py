@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgrove.llm.common import pieces, read, sample_ids
+from gridgrove.llm.common import mix64, pieces, read, sample_ids
 
 PATH = 48  # hashed places of tags on a block's path
 HINTS = 32  # hashed places of words in class, id and role of the path's elements
@@ -26,6 +26,7 @@ HIDDEN = 24
 TRAIN_PAGES = 900
 EPOCHS = 12
 WORDS_FROM = 200  # pages whose words the training pages are made of, chosen by hash of their id
+MOST_WORDS = 20_000  # of these pages' words that are taken, chosen by hash of the page and the place
 
 # Elements of HTML that break text into blocks, that have no end tag, and whose content isn't text.
 BLOCK_TAGS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul option select button label textarea caption iframe noscript template video audio object canvas svg".split())
@@ -37,9 +38,10 @@ PARAGRAPH_ENDS = set("address article aside blockquote details div dl fieldset f
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "p": set()}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*?)(?:>|\Z)", re.S)
-_HINT = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HINT = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.A)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in RAW_TAGS}
 
 
 def small_hash(word: str, places: int) -> int:
@@ -79,7 +81,6 @@ def blocks(page: str | None) -> list[Block]:
         del stack[at:]
 
     at = 0
-    lower = None
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
@@ -121,11 +122,10 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
-        hints = tuple(w.lower() for g in _HINT.findall(m[3]) for w in _NAME.findall("".join(g))[:6])
+        hints = tuple(w.lower() for g in _HINT.findall(m[3]) for w in _NAME.findall("".join(g)))
         if tag in RAW_TAGS:
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            end = len(page) if end < 0 else end
+            found = _RAW_END[tag].search(page, at)
+            end = found.start() if found else len(page)
             if tag in ("title", "textarea"):
                 stack.append((tag, hints))
                 held.append(entities.unescape(page[at:end]))
@@ -380,19 +380,28 @@ def main_text(model: BiLstm, reader: Reader, pages: list[str | None], threshold:
     return [" ".join(b.text for b, q in zip(page, p, strict=True) if q >= threshold) for page, p in zip(cut, found, strict=True)]
 
 
-def sample_words(pages: DataFrame, html: str, key: str, most: int = WORDS_FROM) -> list[str]:
-    """Words of at most 2 * most rows of at most `most` pages, at most 20,000 words; only training pages are made of them."""
+def sample_words(pages: DataFrame, html: str, key: str, most: int = WORDS_FROM, most_words: int = MOST_WORDS) -> list[str]:
+    """At most `most_words` words of `most` whole pages and their repeated rows, those of the smallest hashes; only training pages are made of them."""
     there = pages.where(F.col(html).isNotNull() & F.col(key).isNotNull())
     chosen = sample_ids(there.select(key), key, most).distinct()
-    rows = there.join(F.broadcast(chosen), key).select(F.substring(html, 1, 20_000)).limit(2 * most).collect()
-    return [w for (h,) in rows for b in blocks(h) for w in b.text.split()][:20_000]
+    rows = there.select(F.col(key).alias("_p"), F.col(html).alias("_h")).join(F.broadcast(chosen.withColumnRenamed(key, "_p")), "_p").select(F.xxhash64("_p").alias("p"), "_h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "_h", 1 << 20):
+            for p, h in zip(b.column("p").to_pylist(), b.column("_h").to_pylist(), strict=True):
+                found = [w for x in blocks(h) for w in x.text.split()]
+                order = mix64(np.arange(len(found), dtype=np.uint64) + np.uint64(p & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(1)
+                first = np.argsort(order, kind="stable")[:most_words]
+                yield pa.RecordBatch.from_pydict({"u": pa.array(order[first].astype(np.int64)), "w": pa.array([found[k] for k in first], pa.string())})
+
+    return [r["w"] for r in rows.mapInArrow(run, "u bigint, w string").orderBy("u", "w").limit(most_words).collect()]
 
 
 def extract(pages: DataFrame, model: BiLstm, html: str = "html", name: str = "text") -> DataFrame:
     """pages with the main text of each page; a null or empty page has none, and gives empty text.
 
     Character references are decoded, white space within a block is one space, and blocks are joined by one space in
-    page order. Nothing is cut off. The model, about 20,000 numbers, is broadcast. A column of the name is replaced.
+    page order. Nothing is cut off, pages of any length are read whole, repeated rows are all returned, and an empty table gives none. The model, about 20,000 numbers, is broadcast. A column of the name is replaced.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model)
     pages = pages.drop(name) if name != html else pages
