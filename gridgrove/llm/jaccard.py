@@ -5,10 +5,13 @@ its shingles' hashes. A shingle of the symmetric difference changes one part onl
 differ never exceeds the symmetric difference: at most 1/7 of the sum of sizes at a similarity of 0.75. Documents with an
 equal part that isn't empty are candidates. Up to SINGLE shingles every shingle is a part of its own, and a similar
 pair always has an equal part. Above, p is chosen such that a part is equal and not empty for a similar
-pair with a probability of 0.36 at least, and SKETCH parts are compared: the chance that a pair is missed is under 1e-9.
+pair with a probability of 0.42 at least where p > SKETCH, and SKETCH parts are compared: by the binomial distribution the chance that a pair has
+none is under 1e-11, and that it has at most SPARED of them under 3e-9. (Where p is SKETCH, all parts are compared, and both are smaller still.)
 
 Equal sets are one class from the start. A part shared by more than GROUP classes is crowded, and is left out only for a class
-that has more other parts than can differ from any similar class, so that it meets each of them in one of those for certain.
+that has more other parts than can differ from any similar class, so that it meets each of them in one of those for certain, or for one that has
+at most SPARED crowded parts: whichever these are, a similar class has more parts in common with it, but for the chance above, which
+depends on the hash alone and not on what texts share.
 The rest, as the members of a large group of near copies, are compared with the smallest class of the group.
 Where a crowded group still has several components, those are compared by a second sketch in tiles of many tasks: BITS bits,
 each the parity of the shingles hashed to it, whose Hamming distance is at most the symmetric difference. Only pairs of different
@@ -30,6 +33,7 @@ WORDS = 5
 PERCENT = 75
 SINGLE = 32  # shingles up to which each is a part of its own
 SKETCH = 48  # parts of a larger document's sketch that are compared
+SPARED = 2  # crowded parts that a class may be left out of, as every similar one has other parts in common with it
 GROUP = 16  # classes with an equal part up to which all pairs are candidates
 BITS = 1024
 TILE = 2048  # classes of a crowded group that are compared with another such tile at once
@@ -185,9 +189,18 @@ def all_pairs(members: DataFrame) -> DataFrame:
 
 
 def with_hubs(members: DataFrame) -> DataFrame:
-    """(k, id, n, hub, hub_n, c): each member of a group with the group's smallest one and its size; groups of one are left out."""
+    """(k, id, n, hub, hub_n, c): each member of a group with the group's smallest one and its size; groups of one are left out.
+
+    Groups of a ten-thousandth of all these members, 10,000 at most, are sent to every task, and their members spread by their own ids instead.
+    """
     groups = members.groupBy("k").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    return members.join(groups, "k").select(*members.columns, F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), "c")
+    groups = checkpoint(groups.select("k", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), "c"))
+    total = groups.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    large = groups.where((F.col("c") > GROUP) & (F.col("c") * 10_000 >= total)).select(F.col("k").alias("lk"), F.col("hub").alias("lhub"), F.col("hub_n").alias("ln"), F.col("c").alias("lc"))
+    rows = members.join(F.broadcast(large), members.k == F.col("lk"), "left").withColumn("at", F.when(F.col("lk").isNull(), F.col("k")).otherwise(F.xxhash64("id", "k")))
+    rest = groups.select(F.col("k").alias("gk"), F.col("hub"), F.col("hub_n"), "c")
+    rows = rows.join(rest, (F.col("at") == F.col("gk")) & F.col("lk").isNull(), "left").where("lk is not null or gk is not null")
+    return rows.select(*members.columns, F.coalesce("lhub", "hub").alias("hub"), F.coalesce("ln", "hub_n").alias("hub_n"), F.coalesce("lc", "c").alias("c"))
 
 
 def candidates(members: DataFrame, percent: int) -> DataFrame:
@@ -202,11 +215,12 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
 def crowded(members: DataFrame, percent: int) -> DataFrame:
     """The members of large groups whose parts outside such groups may all differ from a similar class.
 
-    Of a set's n shingles at most n * (1 - s) aren't in a similar set, and at most n * (1 / s - 1) are in one of the two only.
+    Of a set's n shingles at most n * (1 - s) aren't in a similar set, and at most n * (1 / s - 1) are in one of the two only. Sets of more than
+    SINGLE shingles may also lack SPARED parts, whichever they are.
     """
     hot = members.where(F.col("c") > GROUP)
     held = hot.groupBy("id", "band").agg(F.count("*").alias("hot"), F.first("parts").alias("parts"), F.first("n").alias("n"))
-    short = held.where(F.expr(f"parts - hot <= n * {100 - percent} div if(band = 0, 100, {percent})")).select("id", "band")
+    short = held.where(F.expr(f"parts - hot <= n * {100 - percent} div if(band = 0, 100, {percent}) and (band = 0 or hot > {SPARED})")).select("id", "band")
     return hot.drop("hub", "hub_n", "c").join(short, ["id", "band"], "left_semi")
 
 
