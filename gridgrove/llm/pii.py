@@ -1,20 +1,25 @@
 """PII: detected entities get keyed surrogates of their own type and form, in SQL functions only.
 
-A surrogate is a function of the key, the type and the entity, so that an entity has the same surrogate in every document
-(coreference). Two entities whose surrogates collide, and one whose surrogate is an entity of the corpus, are found
+An entity is first reduced to what it names: an address in small letters, a number's digits, each part of a name without its honorific. A surrogate is a
+function of the key, the type and that, so that an entity has the same surrogate in every document and spelling (coreference), and is then written in
+the form that the entity has in the text. Two entities whose surrogates collide, and one whose surrogate is an entity of the corpus, are found
 by joins over the distinct entities; all but the first of them are given a later attempt's surrogate until none collide
 (distinctness). Those few are the only ones that texts are joined with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets as random_source
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridgrove.llm.common import checkpoint, read, small
 
-KEY = "a secret that a user sets"
-BROADCAST = 200_000  # documents with a collided entity up to which their overrides are broadcast
+KEY_SETTING = "spark.gridgrove.pii.key"  # the session's setting that has the key
+BROADCAST = 200_000  # collided entities of documents up to which their attempts are broadcast
+LATE = 8  # attempts from which on a surrogate gets 48 bits more, as the numbers of its form may be used up
+MOST_ATTEMPTS = 64
 
 # What each type looks like; of overlapping entities the first to begin counts, then the first type.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -36,14 +41,19 @@ _BEFORE = {"iban": "(?<![A-Za-z0-9])", "card": r"(?<![A-Za-z0-9.]|(?<![0-9])-)"}
 _AFTER = {"iban": "(?![A-Za-z0-9])", "card": r"(?![A-Za-z0-9]|\.[0-9])"}
 _RUN = {"iban": "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "card": "[0-9](?:[ -]?[0-9]){12,18}"}
 
-# Syllables of made-up names by script, and what a name ends in by gender.
+# Syllables of made-up names by script, and what given names and surnames end in by gender.
 _SYLLABLES = {
-    "latin": ("ba be da de fa fe ga ka la le li ma me mi na ne ni pa pe ra re ri sa se ta te va ve wa za ze zo".split(), ("na", "ro")),
-    "cyrillic": ("ба бе да де фа фе га ка ла ле ли ма ме ми на не ни па пе ра ре ри са се та те ва ве жа за зе зо".split(), ("на", "ров")),
-    "greek": ("βα βε δα δε φα φε γα κα λα λε λι μα με μι να νε νι πα πε ρα ρε ρι σα σε τα τε βι ξα ξε ζα ζε ζο".split(), ("να", "ρος")),
+    "latin": ("ba be da de fa fe ga ka la le li ma me mi na ne ni pa pe ra re ri sa se ta te va ve wa za ze zo".split(), ("na", "ro"), ("n", "n")),
+    "cyrillic": ("ба бе да де фа фе га ка ла ле ли ма ме ми на не ни па пе ра ре ри са се та те ва ве жа за зе зо".split(), ("на", "ров"), ("ова", "ов")),
+    "greek": ("βα βε δα δε φα φε γα κα λα λε λι μα με μι να νε νι πα πε ρα ρε ρι σα σε τα τε βι ξα ξε ζα ζε ζο".split(), ("να", "ρος"), ("ς", "ς")),
 }
 
 
+def by_script(value: Column, made) -> Column:
+    """made(script) of the value's own script."""
+    return F.when(value.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(value.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
+
+
 def entity_type(value: Column) -> Column:
     """The first type whose whole pattern the value has."""
     out = F.lit("name")
@@ -53,6 +63,11 @@ def entity_type(value: Column) -> Column:
     return out
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def digits(value: Column) -> Column:
     """The digits of a value, as an array of integers."""
     return F.transform(F.filter(F.split(value, ""), lambda c: c.rlike("^[0-9]$")), lambda c: c.cast("int"))
@@ -109,15 +124,15 @@ def email(value: Column, bits: Column) -> Column:
 
 
 def card(value: Column, bits: Column) -> Column:
-    """The same first digit, separators and length; the last digit makes the Luhn sum right."""
+    """The same first digit and length; the last digit makes the Luhn sum right."""
     draft = F.concat(F.substring(same_form(value, bits, 1), F.lit(1), F.length(value) - 1), F.lit("0"))
-    return F.concat(F.substring(draft, F.lit(1), F.length(draft) - 1), ((10 - luhn(draft)) % 10).cast("string"))
+    return bound(draft, lambda d: F.concat(F.substring(d, F.lit(1), F.length(d) - 1), ((10 - luhn(d)) % 10).cast("string")))
 
 
 def iban(value: Column, bits: Column) -> Column:
     """The same country and form, with right check digits."""
     draft = F.concat(F.substring(value, 1, 2), F.lit("00"), F.substring(same_form(value, bits, 4), F.lit(5), F.length(value)))
-    return F.concat(F.substring(value, 1, 2), F.lpad((98 - mod97(draft)).cast("string"), 2, "0"), F.substring(draft, F.lit(5), F.length(draft)))
+    return bound(draft, lambda d: F.concat(F.substring(value, 1, 2), F.lpad((98 - mod97(d)).cast("string"), 2, "0"), F.substring(d, F.lit(5), F.length(d))))
 
 
 def ip(bits: Column) -> Column:
@@ -125,35 +140,107 @@ def ip(bits: Column) -> Column:
     return F.concat_ws(".", 240 + number(bits, 0) % 15, number(bits, 1), number(bits, 2), 1 + number(bits, 3) % 254)
 
 
-def name(value: Column, bits: Column) -> Column:
-    """The same honorific, and made-up names of its gender, the name's script and its number of parts."""
-    title = F.regexp_extract(value, _HONORIFIC, 0)
-    rest = F.substring(value, F.length(title) + 1, F.length(value))
-    female = value.rlike(_FEMALE)
+def stem(value: Column, bits: Column) -> Column:
+    """Four syllables of the script of a name's part."""
 
     def made(script: str) -> Column:
-        syllables, (she, he) = _SYLLABLES[script]
-        table = F.array(*(F.lit(s) for s in syllables))
+        table = F.array(*(F.lit(s) for s in _SYLLABLES[script][0]))
+        return F.concat(*(F.get(table, number(bits, k) % len(_SYLLABLES[script][0])) for k in range(4)))
 
-        def part(p, i):
-            pick = [F.get(table, number(bits, i * 7 + k) % len(syllables)) for k in range(4)]
-            ending = F.when(i == 0, F.when(female, F.lit(she)).otherwise(F.lit(he))).otherwise(F.get(table, number(bits, i * 7 + 5) % len(syllables)))
-            return F.concat(F.regexp_extract(p, "^[ -]", 0), F.initcap(F.concat(*pick, ending)))
+    return by_script(value, made)
 
-        return F.array_join(F.transform(F.regexp_extract_all(rest, F.lit(r"[ -]?\p{L}+"), F.lit(0)), part), "")
 
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(rest.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
-    return F.concat(title, script)
+def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+    """What stands for a canonical value: an address, digits, or the stem of a name's part."""
 
+    def made(bits):
+        ssn = F.concat(F.lit("9"), F.substring(same_form(value, bits, 1), F.lit(2), F.length(value)))
+        return (
+            F.when(kind == "email", email(value, bits)).when(kind == "iban", iban(value, bits)).when(kind == "card", card(value, bits)).when(kind == "ssn", ssn)
+            .when(kind == "ip", ip(bits)).when(kind == "phone", same_form(value, bits, 1)).otherwise(stem(value, bits))
+        )
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    bits = stream(kind, value, attempt, key)
-    ssn = F.concat(F.lit("9"), F.substring(same_form(value, bits, 1), F.lit(2), F.length(value)))
-    phone_keep = F.concat(F.regexp_extract(value, r"^\+?[0-9]?", 0), F.substring(same_form(value, bits), F.length(F.regexp_extract(value, r"^\+?[0-9]?", 0)) + 1, F.length(value)))
-    return (
-        F.when(kind == "email", email(value, bits)).when(kind == "iban", iban(value, bits)).when(kind == "card", card(value, bits)).when(kind == "ssn", ssn)
-        .when(kind == "ip", ip(bits)).when(kind == "phone", phone_keep).otherwise(name(value, bits))
-    )
+    return bound(stream(kind, value, attempt, key), made)
+
+
+def mark(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+    """Nothing, or after LATE attempts 12 more characters that tell surrogates apart."""
+    return F.when(attempt >= LATE, F.translate(F.substring(stream(kind, value, attempt, key), 65, 12), "0123456789", "ghijklmnop")).otherwise(F.lit(""))
+
+
+def canonical(kind: Column, value: Column) -> Column:
+    """What an entity other than a name is told by: small letters, digits, or both without spaces; a US phone number has its country code."""
+    plain = F.regexp_replace(value, "[^0-9A-Za-z]", "")
+    phone = F.when(value.startswith("+"), plain).otherwise(F.concat(F.lit("1"), plain))
+    return F.when(kind == "email", F.lower(value)).when(kind == "ip", value).when(kind == "phone", phone).otherwise(plain)
+
+
+def name_parts(value: Column) -> Column:
+    """A name's parts after the honorific, each with the space or hyphen before it."""
+    title = F.regexp_extract(value, _HONORIFIC, 0)
+    return F.regexp_extract_all(F.substring(value, F.length(title) + 1, F.length(value)), F.lit(r"[ -]?\p{L}+"), F.lit(0))
+
+
+def part_name(value: Column, part: Column, last: Column) -> Column:
+    """A name's part in small letters; a woman's Cyrillic surname without its last letter."""
+    plain = F.lower(F.regexp_replace(part, "^[ -]", ""))
+    return F.when(last & value.rlike(_FEMALE) & plain.rlike("^\\p{IsCyrillic}{3,}а$"), F.regexp_replace(plain, "а$", "")).otherwise(plain)
+
+
+def numbered(value: Column, body) -> Column:
+    """body(part, whether it is the last) of each of a name's parts."""
+
+    def each(parts):
+        return F.transform(parts, lambda p, i: body(p, i == F.size(parts) - 1))
+
+    return bound(name_parts(value), each)
+
+
+def units(kind: Column, value: Column) -> Column:
+    """The canonical values that an entity consists of: one, or those of a name's parts."""
+    return F.when(kind == "name", numbered(value, lambda p, last: part_name(value, p, last))).otherwise(F.array(canonical(kind, value)))
+
+
+def in_form(value: Column, plain: Column) -> Column:
+    """The last letters and digits of plain in the places of value's; all else of value stays."""
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    skipped = F.length(plain) - F.length(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
+    start = F.struct((skipped + 1).alias("i"), F.lit("").alias("out"))
+
+    def step(s, c):
+        taken = c.rlike("^[0-9A-Za-z]$")
+        return F.struct((s["i"] + F.when(taken, 1).otherwise(0)).alias("i"), F.concat(s["out"], F.when(taken, F.substring(plain, s["i"], F.lit(1))).otherwise(c)).alias("out"))
+
+    return F.aggregate(chars, start, step)["out"]
+
+
+def replaced(kind: Column, value: Column, tries: Column, key: str) -> Column:
+    """An entity's surrogate in its own form; tries has the attempts of canonical values (kind:value) whose first surrogates collide."""
+
+    def attempt(k: Column, v: Column) -> Column:
+        return F.coalesce(F.element_at(tries, F.concat(k, F.lit(":"), v)), F.lit(0))
+
+    def written(own):  # (value, attempt)
+        made = surrogate(kind, own["v"], own["n"], key)
+        return F.concat(F.when(kind.isin("email", "ip"), made).otherwise(bound(made, lambda m: in_form(value, m))), mark(kind, own["v"], own["n"], key))
+
+    one = bound(canonical(kind, value), lambda v: bound(F.struct(v.alias("v"), attempt(kind, v).alias("n")), written))
+    name = F.lit("name")
+
+    def part(p, last):
+        def ending(script: str) -> Column:
+            _, (she, he), (her, his) = _SYLLABLES[script]
+            female = value.rlike(_FEMALE)
+            return F.when(last & female, F.lit(her)).when(last, F.lit(his)).when(female, F.lit(she)).otherwise(F.lit(he))
+
+        def made(own):
+            bits = stream(name, own["v"], own["n"], key)
+            return F.concat(F.regexp_extract(p, "^[ -]", 0), F.initcap(F.concat(bound(bits, lambda b: stem(own["v"], b)), mark(name, own["v"], own["n"], key), by_script(own["v"], ending))))
+
+        return bound(part_name(value, p, last), lambda v: bound(F.struct(v.alias("v"), attempt(name, v).alias("n")), made))
+
+    names = F.concat(F.regexp_extract(value, _HONORIFIC, 0), F.array_join(numbered(value, part), ""))
+    return F.when(kind == "name", names).otherwise(one)
 
 
 def checked(text: Column, kind: str) -> Column:
@@ -191,8 +278,13 @@ def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def overrides(values: DataFrame, key: str) -> DataFrame:
-    """(kind, value, other) of the distinct entities (kind, value) whose first surrogate collides, with another one that doesn't."""
-    values = checkpoint(values.withColumn("other", surrogate(F.col("kind"), F.col("value"), F.lit(0), key)))
+    """(kind, value, other, attempt) of the distinct canonical values (kind, value) whose first surrogate collides: another one that doesn't, and its attempt."""
+
+    def drawn_at(rows: DataFrame, attempt: int) -> DataFrame:
+        kind, value, n = F.col("kind"), F.col("value"), F.lit(attempt)
+        return checkpoint(rows.select("kind", "value", F.concat(surrogate(kind, value, n, key), mark(kind, value, n, key)).alias("other"), n.alias("attempt")))
+
+    values = drawn_at(values, 0)
     originals = values.select("kind", F.col("value").alias("other"))
 
     def losers(drawn: DataFrame, kept: DataFrame | None) -> DataFrame:
@@ -203,43 +295,58 @@ def overrides(values: DataFrame, key: str) -> DataFrame:
         return lost.union(drawn.join(taken, ["kind", "other"], "left_semi").select("kind", "value")).distinct()
 
     lost = checkpoint(losers(values, None))
-    settled = values.select("kind", "value", "other")
-    done, attempt = settled.limit(0), 0
-    while not small(lost, 0):
-        attempt += 1
+    settled, done = values, values.limit(0)
+    for attempt in range(1, MOST_ATTEMPTS):
+        if small(lost, 0):
+            return done
         settled = settled.join(lost, ["kind", "value"], "left_anti")
-        drawn = checkpoint(lost.withColumn("other", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key)))
+        drawn = drawn_at(lost, attempt)
         lost = checkpoint(losers(drawn, settled))
         good = drawn.join(lost, ["kind", "value"], "left_anti")
         settled, done = settled.union(good), checkpoint(done.union(good))
-    return done
+    raise RuntimeError(f"surrogates still collide after {MOST_ATTEMPTS} attempts")
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's setting; where there is none, a random one that lasts as long as the session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = random_source.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
-def pseudonymise(docs: DataFrame, secret: str = KEY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, secret: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every detected entity of the text replaced, and n_entities, how many were; all else stays.
 
     Detected are e-mail addresses, IBANs and card numbers with right check digits, US social security numbers, IPv4 addresses, phone
-    numbers with a country code or in US form, and names after an honorific, which gives their gender. A null text stays null
-    with 0 entities. Repeated rows are all returned. A column n_entities of docs is replaced.
+    numbers with a country code or in US form, and names after an honorific, which gives their gender. The secret is that of the
+    session's setting KEY_SETTING where none is given; without a setting it is random, and surrogates differ from session to session. A null text stays null
+    with 0 entities, an empty one stays empty, and texts of any length are read whole. Repeated rows are all returned, and an empty table gives none. A
+    column n_entities of docs is replaced. Rows of one id, or of none, share the attempts of their entities.
     """
+    secret = secret or session_key(docs.sparkSession)
     docs = docs.drop("n_entities")
-    each = checkpoint(entities(docs, key, text))
-    other = overrides(each.select("kind", "value").distinct(), secret)
-    extra = each.join(other, ["kind", "value"]).groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("value", "other"))).alias("_other")).withColumnRenamed("id", "_id")
-    extra = checkpoint(extra)
-    extra = F.broadcast(extra) if small(extra, BROADCAST) else extra
+    each = entities(docs, key, text).select("id", "kind", F.explode(units(F.col("kind"), F.col("value"))).alias("value"))
+    each = checkpoint(each.distinct())
+    other = overrides(each.select("kind", "value").distinct(), secret).select("kind", "value", "attempt")
+    other = F.broadcast(other) if small(other, BROADCAST) else other
+    collided = checkpoint(each.join(other, ["kind", "value"]))
+    entry = F.struct(F.concat("kind", F.lit(":"), "value").alias("k"), F.col("attempt").alias("v"))
+    extra = collided.groupBy(F.col("id").alias("_id")).agg(F.map_from_entries(F.collect_set(entry)).alias("_tries"))
+    extra = F.broadcast(extra) if small(collided, BROADCAST) else extra
     rows = docs.join(extra, F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
     t = F.col(text)
     rows = rows.withColumn("_any", any_of(t))
     found, between = found_in(t, F.col("_any")), F.split(t, F.col("_any"), -1)
 
-    def swap(v):
-        kind = entity_type(v)
-        own = F.coalesce(F.element_at(F.col("_other"), v), surrogate(kind, v, F.lit(0), secret))
-        ok = valid(kind, v)
-        return F.struct(F.when(ok, own).otherwise(v).alias("v"), ok.alias("ok"))
+    def swap(x):
+        return F.struct(F.when(x["ok"], replaced(x["kind"], x["v"], F.col("_tries"), secret)).otherwise(x["v"]).alias("v"), x["ok"].alias("ok"))
 
-    rows = rows.withColumn("_found", found).withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", swap)))
+    rows = rows.withColumn("_found", found)
+    told = F.transform("_found", lambda v: F.struct(v.alias("v"), entity_type(v).alias("kind")))
+    told = F.transform(told, lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), valid(x["kind"], x["v"]).alias("ok")))
+    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, F.transform(told, swap)))
     glued = F.array_join(F.flatten(F.zip_with(between, F.col("_new"), lambda b, n: F.array(F.coalesce(b, F.lit("")), F.coalesce(n["v"], F.lit(""))))), "")
     count = F.coalesce(F.size(F.filter("_new", lambda n: n["ok"])), F.lit(0))
     columns = [F.when(F.size("_found") > 0, glued).otherwise(t).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
