@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gridgrove.llm.common import checkpoint, small
 
 MOST_RATE = 500.0  # up to which probabilities are summed from 0 copies on, and which given weights may not pass
+PART_SIZE = 64 << 20  # code points of a partition of the mix, about
+MOST_PARTS = 1_000_000
 
 
 def uniform(seed: int, *columns: Column) -> Column:
@@ -78,18 +80,22 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, power: float
     Null texts count as empty. Rows of a null source form a source of their own. Rows that share an id
     get the same number. Other columns are kept; added names replace columns of the same name.
     Rates are broadcast when there are at most 50,000 sources, and joined by shuffle beyond that,
-    where Spark splits the partitions of a hot source.
+    where Spark splits the partitions of a hot source. An empty table gives an empty mix; texts of any length are kept whole.
+    The order's keys are hashes, spread evenly, so that their first digits tell the partition: no range has to be sampled for.
     """
     rates = target_rates(docs, weights, power, budget, source, text)
+    size = rates.agg(F.coalesce(F.sum(F.col("size") * F.col("rate")), F.lit(0.0))).first()[0]
+    parts = min(MOST_PARTS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size) // PART_SIZE + 1))
     rates = rates.select(F.col("source").alias("_s"), F.col("cdf").alias("_cdf"), F.col("first").alias("_first"))
     rates = F.broadcast(rates) if small(rates, 50_000) else rates
     docs = docs.drop("replica", "n_copies", "shuffle_key")
     drawn = docs.join(rates, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_u", uniform(seed, F.col(key)))
     drawn = drawn.withColumn("n_copies", (F.col("_first") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).cast("int")).where("n_copies > 0").drop("_s", "_cdf", "_first", "_u")
     copies = drawn.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    parts = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, "replica"))
-    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), *parts)))
-    return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    named = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, "replica"))
+    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), *named)))
+    place = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") * F.lit(float(parts)) / F.lit(float(1 << 32)))
+    return copies.repartitionById(parts, place.cast("int")).sortWithinPartitions("shuffle_key")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
