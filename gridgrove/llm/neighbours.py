@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ class Code:
 
 
 def unit(vectors: list[list[float] | None], dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors, row numbers) of the vectors that aren't null or zero and hold `dims` finite numbers."""
+    """(unit vectors, row numbers) of the vectors that aren't null or zero and hold `dims` finite numbers, no more and no fewer."""
     at = [k for k, v in enumerate(vectors) if v is not None and len(v) == dims and None not in v]
     x = np.array([vectors[k] for k in at], float).reshape(len(at), dims)
     with np.errstate(over="ignore", invalid="ignore"):
@@ -68,30 +69,40 @@ def unit(vectors: list[list[float] | None], dims: int) -> tuple[np.ndarray, np.n
 
 
 def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(id, label, v) of the rows that can link, v as doubles."""
+    """(id, label, v) of the rows that can link, v as doubles; the label begins with the vector's length, as only equally long ones can."""
     v = F.transform(vector, lambda x: x.cast("double"))
-    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("string").alias("label"), v.alias("v")).where("id is not null and label is not null and v is not null")
+    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.concat(F.size(vector), F.lit(":"), F.col(label).cast("string")).alias("label"), v.alias("v")).where("id is not null and label is not null and v is not null")
     return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
 
 
-def listed(classes: DataFrame, dims: int, codes: list[Code], cosine: float) -> DataFrame:
-    """(id, label, weight, v, filters) of each class: its unit vector and the sorted numbers of its filters."""
-    sent, margin = classes.sparkSession.sparkContext.broadcast(codes), MARGIN * np.sqrt(max(0.0, 2 - 2 * cosine))
+def listed(classes: DataFrame, cosine: float) -> DataFrame:
+    """(id, label, weight, v, filters) of each class: its unit vector and the sorted numbers of its filters; width is that of its length's codes."""
+    part = MARGIN * np.sqrt(max(0.0, 2 - 2 * cosine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[tuple[int, int], list[Code]] = {}
         for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                b = whole.slice(begin, 500)
-                x, at = unit(b.column("v").to_pylist(), dims)
-                found = [code.filters(x, margin) for code in sent.value]
-                row = np.concatenate([r for r, _ in found])
-                number = np.concatenate([f * len(found) + k for k, (_, f) in enumerate(found)])
-                order = np.lexsort((number, row))
-                cut = np.searchsorted(row[order], np.arange(len(at) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(number[order], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in ("id", "label", "weight")), pa.array([r.tobytes() for r in x], pa.binary()), lists], ["id", "label", "weight", "v", "filters"])
-
-    rows = classes.select("id", "label", "weight", "v").mapInArrow(run, "id bigint, label string, weight bigint, v binary, filters array<bigint>")
+            lengths = np.asarray(pa.compute.list_value_length(whole.column("v")))
+            for dims in np.unique(lengths):
+                same = whole.take(pa.array(np.flatnonzero(lengths == dims)))
+                width = same.column("width")[0].as_py()
+                if (dims, width) not in made:
+                    if len(made) > 3:
+                        made.clear()
+                    made[dims, width] = [Code(int(dims), width, seed) for seed in range(CODES)]
+                codes = made[dims, width]
+                for begin in range(0, same.num_rows, 500):
+                    b = same.slice(begin, 500)
+                    x, at = unit(b.column("v").to_pylist(), dims)
+                    found = [code.filters(x, part) for code in codes]
+                    row = np.concatenate([r for r, _ in found])
+                    number = np.concatenate([f * len(found) + k for k, (_, f) in enumerate(found)])
+                    order = np.lexsort((number, row))
+                    cut = np.searchsorted(row[order], np.arange(len(at) + 1))
+                    lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(number[order], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in ("id", "label", "weight")), pa.array([r.tobytes() for r in x], pa.binary()), lists], ["id", "label", "weight", "v", "filters"])
+
+    rows = classes.select("id", "label", "weight", "v", "width").mapInArrow(run, "id bigint, label string, weight bigint, v binary, filters array<bigint>")
     return table(rows, "filters")
 
 
@@ -106,13 +117,13 @@ def tiles(rows: DataFrame) -> DataFrame:
     return both.join(rows, "id")
 
 
-def compare(found: DataFrame, dims: int, cosine: float) -> DataFrame:
+def compare(found: DataFrame, cosine: float) -> DataFrame:
     """(id, n, least): for each tile pair, how many rows a class links with there, and the smallest class of those it reaches there."""
     rows = found.repartition("label", "f", "i", "j").sortWithinPartitions("label", "f", "i", "j", "tile", "id")
 
     def flush(key, ids, weights, lists, xs, tile) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         _, f, i, j = key
-        x = np.frombuffer(b"".join(xs), float).reshape(len(ids), dims)
+        x = np.frombuffer(b"".join(xs), float).reshape(len(ids), -1)
         ids, weights, tile = np.array(ids), np.array(weights), np.array(tile)
         longest = max(map(len, lists))
         padded = np.full((len(lists), longest), -1, np.int64)
@@ -177,19 +188,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     """(id, n_links, component_id, kept) of every row of vectors.
 
     Rows link when their labels are equal and the cosine of their vectors, in double precision, is `cosine` at least. Null
-    vectors, labels and ids, vectors of zeros, and those with null, NaN or infinite components link with nothing, as do vectors
-    of another length than most. Equal vectors are one class, compared once; n_links counts each of its rows. A hot filter's
+    vectors, labels and ids, vectors of zeros, and those with null, NaN or infinite components link with nothing. Vectors of any length
+    are compared with those of the same length. An empty table gives no rows. Equal vectors are one class, compared once; n_links counts each of its rows. A hot filter's
     members are compared in pairs of tiles, by many tasks. ids stand for one vector; repeated rows count as links of each other.
     """
     good = usable(vectors, key, vector, label)
-    sizes = good.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
-    dims = sizes[0]["dims"] if sizes else 1
-    good = good.where(F.size("v") == dims)
     classes = checkpoint(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
-    n = classes.count()
-    width = max(2, int(np.ceil(n ** (1 / min(BLOCKS, dims)))))  # about as many filters as vectors
-    rows = listed(classes, dims, [Code(dims, width, seed) for seed in range(CODES)], cosine)
-    found = checkpoint(compare(tiles(rows), dims, cosine))
+    # about as many filters as vectors of a length
+    width = F.greatest(F.lit(2), F.ceil(F.pow(F.count("*").cast("double"), 1.0 / F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.first(F.size("v")))))).cast("int"))
+    widths = classes.groupBy(F.size("v").alias("dims")).agg(width.alias("width"))
+    rows = listed(classes.withColumn("dims", F.size("v")).join(widths, "dims"), cosine)
+    found = checkpoint(compare(tiles(rows), cosine))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     group = components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
     by_class = classes.join(counts, "id", "left").join(group.withColumnRenamed("node", "id"), "id", "left")
