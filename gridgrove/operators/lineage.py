@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the session's shared folder.
+    """df with its lineage cut, in the session's shared folder; without one, as in tests, a temporary folder is made where all runs on one machine.
 
     A checkpoint keeps the size that was estimated for df, and joins multiply sizes: in a loop the estimate's digits would
     double with each round. So the rows are taken over without it; the real sizes are known when a plan runs.
@@ -16,6 +16,8 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="shared-")

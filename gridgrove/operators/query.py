@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from gridgrove.operators.tree import Hierarchy, pointer_jumped, shared_checkpoint
 
 
-def first_ancestor(tree: Hierarchy, stop: Column, one_task: bool = True) -> DataFrame:
+ONE_TASK = 4_000_000  # nodes up to which those of all images may be resolved an image a task
+
+
+def first_ancestor(tree: Hierarchy, stop: Column, one_task: bool | None = None) -> DataFrame:
     """(image_id, node_id, found_id): each node's first ancestor, itself included, where stop holds, or else its root.
 
-    stop must hold for all ancestors of a node where it holds. Two numbers a node of an image go to one task, as all its nodes
-    were made in one; with one_task=False pointers are moved on by joins instead, in rounds whose number is far below the depth.
+    stop must hold for all ancestors of a node where it holds. Two numbers a node of an image go to one task where there are at most ONE_TASK nodes, or
+    one_task asks for it; pointers are moved on by joins otherwise, in rounds whose number is far below the depth.
     """
+    if one_task is None:
+        one_task = tree.nodes.limit(ONE_TASK + 1).count() <= ONE_TASK
     here = F.coalesce(stop, F.lit(False)) | F.col("parent_id").isNull()
     jump = tree.nodes.select("image_id", "node_id", F.when(here, F.col("node_id")).otherwise(F.col("parent_id")).alias("to"))
     if not one_task:

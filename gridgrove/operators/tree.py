@@ -1,8 +1,8 @@
 """The hierarchy of components: one node for each set that connects at some level, with its attributes.
 
 Nodes are numbered by (alpha, least pixel) within their image. Edges are always taken in the order of (alpha, edge_id), which
-makes the minimum spanning tree unique, and the hierarchy of a graph is that of its minimum spanning tree. All strategies send
-only that tree's edges, one fewer than pixels, to the grouped build.
+makes the minimum spanning tree unique, and the hierarchy of a graph is that of its minimum spanning tree. `kruskal` sends every edge to the
+grouped build, which leaves out those that close cycles; the other strategies shrink them first, to the tree's edges or to forests of tiles or of rank bins.
 """
 
 from __future__ import annotations

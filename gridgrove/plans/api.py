@@ -41,9 +41,10 @@ def strategy(algorithm: str) -> str:
 
 
 def build_hierarchy(grid: Grid, connectivity: int = 4, metric: str | None = "L2", algorithm: str = "FloodHierHeapQueue", parts: int | None = None, bins: int = 8) -> Hierarchy:
-    """The hierarchy of each of the grid's images. `auto` chooses by the images' size. Tiles, where no number of them is given, have about PART_PIXELS pixels."""
+    """The hierarchy of each of the grid's images. `auto`, and names that stand for kruskal, choose by the images' size. Tiles, where no number of them is given, have about PART_PIXELS pixels."""
     check_connectivity(connectivity)
     parts = parts or max(16, grid.size // PART_PIXELS)
-    name = ("kruskal" if grid.size <= ONE_TASK else "tiled") if algorithm == "auto" else strategy(algorithm)
+    name = "kruskal" if algorithm == "auto" else strategy(algorithm)
+    name = "tiled" if name == "kruskal" != algorithm and grid.size > ONE_TASK else name
     found = edges(grid, connectivity, metric)
     return build(grid, STRATEGIES[name](found, grid, parts=parts, bins=bins, whole=False))

@@ -100,6 +100,13 @@ def hierarchy_nodes(algorithm: str):
     return query
 
 
+def hierarchy_tree(spark, sf_dir, of=_small):
+    """Every node with its attributes and its parent, both named by least pixel and level."""
+    nodes = _tree(spark, sf_dir, of).nodes
+    up = nodes.select("image_id", F.col("node_id").alias("parent_id"), F.col("min_p").alias("parent_min_p"), F.col("alpha").cast("double").alias("parent_alpha"))
+    return nodes.join(up, ["image_id", "parent_id"], "left").select("min_p", "area", F.col("alpha").cast("double").alias("alpha"), "sum_pix", "min_pix", "max_pix", "parent_min_p", "parent_alpha")
+
+
 def area_filter(spark, sf_dir):
     return Q.area_filter(_tree(spark, sf_dir), 25 / CROP**2).select("p", "value")
 
@@ -196,6 +203,7 @@ QUERIES = {
     "hierarchy_nodes_rank_bins": hierarchy_nodes("HybridParallel"),
     "hierarchy_nodes_boruvka": hierarchy_nodes("FloodTrieQueueHypergraph"),
     "hierarchy_nodes_levels": hierarchy_nodes("levels"),
+    "hierarchy_tree": hierarchy_tree,
     "area_filter": area_filter,
     "level_filter": level_filter,
     "flat_partition": flat_partition,
@@ -207,7 +215,7 @@ QUERIES = {
 }
 
 # The queries above that read a corner, for SQL's sake, over the whole image with all its levels; area_filter_whole is their twin of the area filter.
-_CORNER = ("line_graph", "acc_labels_t", "acc_attributes_t", "hierarchy_nodes", "hierarchy_nodes_tiled", "hierarchy_nodes_rank_bins", "hierarchy_nodes_boruvka", "hierarchy_nodes_levels", "level_filter", "flat_partition", "common_ancestors", "mst_edges", "redundant_edges", "strategies_agree")
+_CORNER = ("line_graph", "acc_labels_t", "acc_attributes_t", "hierarchy_nodes", "hierarchy_nodes_tiled", "hierarchy_nodes_rank_bins", "hierarchy_nodes_boruvka", "hierarchy_nodes_levels", "hierarchy_tree", "level_filter", "flat_partition", "common_ancestors", "mst_edges", "redundant_edges", "strategies_agree")
 QUERIES |= {f"{name}_whole": lambda s, d, f=QUERIES[name]: f(s, d, _grid) for name in _CORNER}
 
 _GRID = """g AS (
@@ -219,12 +227,14 @@ _SMALL = _GRID + f""", s AS (SELECT y, x, y * {CROP} + x AS p, FLOOR(v / {STEP})
 
 
 def _edge_sql(table: str, width: int, connectivity: int) -> str:
+    """A join by number for each direction; the last column has no neighbour to its right."""
     ways = S.OFFSETS[connectivity]
-    values = ", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate(ways))
-    return f"""e AS (
-  SELECT a.p * {len(ways)} + d.k AS edge_id, a.p AS p0, b.p AS p1, d.k AS dir, CAST(CAST(ABS(a.v - b.v) AS REAL) AS DOUBLE) AS alpha
-  FROM {table} a CROSS JOIN (VALUES {values}) d(k, dy, dx) JOIN {table} b ON b.y = a.y + d.dy AND b.x = a.x + d.dx
-)"""
+    each = (
+        f"""SELECT a.p * {len(ways)} + {k} AS edge_id, a.p AS p0, b.p AS p1, {k} AS dir, CAST(CAST(ABS(a.v - b.v) AS REAL) AS DOUBLE) AS alpha
+  FROM {table} a JOIN {table} b ON b.p = a.p + {dy * width + dx} WHERE a.x + {dx} < {width}"""
+        for k, (dy, dx) in enumerate(ways)
+    )
+    return "e AS (" + " UNION ALL ".join(each) + ")"
 
 
 def _multi_sql(metric: str) -> str:
@@ -306,6 +316,11 @@ SELECT p, edge_id, alpha FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p ORDER
     "acc_labels_t": _AT + " SELECT p, label FROM lab",
     "acc_attributes_t": _AT + " SELECT label, COUNT(*) AS area, SUM(v) AS sum_pix, MIN(v) AS min_pix, MAX(v) AS max_pix FROM lab JOIN s USING (p) GROUP BY label",
     **{f"hierarchy_nodes{k}": _NODES for k in ("", "_tiled", "_rank_bins", "_boruvka", "_levels")},
+    "hierarchy_tree": _CC
+    + """, node AS (SELECT lab, n, MIN(t) AS alpha FROM cc WHERE p = lab GROUP BY lab, n),
+own AS (SELECT lab, n, SUM(v) AS sum_pix, MIN(v) AS min_pix, MAX(v) AS max_pix FROM node JOIN reach r ON r.t = node.alpha AND r.p = node.lab JOIN s ON s.p = r.q GROUP BY lab, n),
+up AS (SELECT node.lab, node.n, ARG_MIN(c.lab, c.t) AS parent_min_p, MIN(c.t) AS parent_alpha FROM node JOIN cc c ON c.p = node.lab AND c.n > node.n GROUP BY node.lab, node.n)
+SELECT lab AS min_p, n AS area, alpha, sum_pix, min_pix, max_pix, parent_min_p, parent_alpha FROM node JOIN own USING (lab, n) LEFT JOIN up USING (lab, n)""",
     "area_filter": _CC + " SELECT p, MIN(t) AS value FROM cc WHERE n >= 25 GROUP BY p",
     "level_filter": _CC
     + f""", node AS (SELECT lab, n, MIN(t) AS alpha FROM cc GROUP BY lab, n),
