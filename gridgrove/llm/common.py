@@ -90,11 +90,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none, as in tests."""
+    """The folder that driver and executors share; one is made only where the session names none and all runs on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -14,7 +14,7 @@ from gridgrove.llm.common import pieces, read, table, words
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
 GAP = 64  # positions between two documents of a segment, more than a window or a slop may span
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20  # text of items that the driver turns into phrases at once, about 80 times as much memory
 
 INDEX = "segment bigint, doc_ids array<bigint>, n_words array<bigint>, terms array<string>, counts array<int>, postings binary"
 
@@ -193,16 +193,23 @@ def search(index: DataFrame, phrases: Phrases) -> DataFrame:
     return index.mapInArrow(look, "segment bigint, ordinal int, doc_id bigint, n_words bigint, hits array<struct<start:int,end:int>>, item_ids array<string>")
 
 
-def merge_ranges(ranges):
-    """Sorted disjoint ranges that cover the same words."""
+def merged(found: DataFrame) -> DataFrame:
+    """Rows with hits, lists of ranges in any order, as sorted disjoint ranges that cover the same words."""
 
-    def add(done, x):
-        last = F.element_at(done, -1)
-        apart = (F.size(done) == 0) | (x["start"] > last["end"])
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when(apart, F.concat(done, F.array(x))).otherwise(grown)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = []
+            for hits in b.column("hits"):
+                x = np.array([(h["start"], h["end"]) for h in hits.as_py() or []], np.int64).reshape(-1, 2)
+                x = x[np.argsort(x[:, 0], kind="stable")]
+                reach = np.maximum.accumulate(x[:, 1])
+                first = np.flatnonzero(np.append(True, x[1:, 0] > reach[:-1])) if len(x) else np.empty(0, np.int64)
+                last = np.append(first[1:], len(x))[: len(first)] - 1
+                lists.append([{"start": int(s), "end": int(e)} for s, e in zip(x[first, 0], reach[last], strict=True)])
+            at = b.schema.get_field_index("hits")
+            yield b.set_column(at, b.schema.field(at), pa.array(lists, b.schema.field(at).type))
 
-    return F.aggregate(F.array_sort(ranges), F.expr("cast(array() as array<struct<start:int,end:int>>)"), add)
+    return found.mapInArrow(run, found.schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -229,7 +236,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         part = table(search(index, Phrases(asked, window)), "matches")
         found = part if found is None else found.union(part)
     found = found.groupBy("segment", "ordinal", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    return found.withColumn("hits", merge_ranges(F.col("hits"))).drop("segment", "ordinal")
+    return merged(found.drop("segment", "ordinal"))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
