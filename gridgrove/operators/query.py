@@ -77,27 +77,53 @@ def flat_partition(tree: Hierarchy, level: float) -> DataFrame:
     return tree.leaves.join(found.join(names, ["image_id", "found_id"]), ["image_id", "node_id"]).select("image_id", "p", "label")
 
 
-def ancestors(tree: Hierarchy, start: DataFrame) -> DataFrame:
-    """(image_id, id, node_id): all ancestors of the nodes (image_id, id, node_id), themselves included."""
-    out = shared_checkpoint(start.select("image_id", "id", "node_id"))
-    level = out
-    up = tree.nodes.where("parent_id is not null").select("image_id", "node_id", "parent_id")
-    while True:
-        level = shared_checkpoint(level.join(up, ["image_id", "node_id"]).select("image_id", "id", F.col("parent_id").alias("node_id")))
-        if not level.limit(1).count():
-            return out
-        out = out.union(level)
+def lifted(tree: Hierarchy) -> list[DataFrame]:
+    """Tables (image_id, node_id, to) of the ancestors 1, 2, 4, ... steps up, of the nodes that have one: as many tables as the depth has binary digits."""
+    step = shared_checkpoint(tree.nodes.where("parent_id is not null").select("image_id", "node_id", F.col("parent_id").alias("to")))
+    out = []
+    while step.limit(1).count():
+        out.append(step)
+        over = step.select("image_id", F.col("node_id").alias("to"), F.col("to").alias("further"))
+        step = shared_checkpoint(step.join(over, ["image_id", "to"]).select("image_id", "node_id", F.col("further").alias("to")))
+    return out
+
+
+def _stepped(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """The rows with, for each column of nodes, where one of `lifted`'s tables leads from it (null: nowhere) as <column>_to."""
+    for c in columns:
+        rows = rows.join(table.select("image_id", F.col("node_id").alias(c), F.col("to").alias(f"{c}_to")), ["image_id", c], "left")
+    return rows
 
 
 def common_ancestor(tree: Hierarchy, pairs: DataFrame) -> DataFrame:
-    """(image_id, p, q, node_id, alpha) of pixel pairs (image_id, p, q): their lowest common ancestor, whose level is the least highest weight of a path between them."""
-    numbered = shared_checkpoint(pairs.select("image_id", "p", "q").distinct())
-    leaf = tree.leaves
-    first = numbered.join(leaf, ["image_id", "p"]).select("image_id", F.struct("p", "q").alias("id"), "node_id")
-    second = numbered.join(leaf.withColumnRenamed("p", "q"), ["image_id", "q"]).select("image_id", F.struct("p", "q").alias("id"), "node_id")
-    both = ancestors(tree, first).join(ancestors(tree, second), ["image_id", "id", "node_id"])
-    found = both.join(tree.nodes.select("image_id", "node_id", "alpha"), ["image_id", "node_id"]).groupBy("image_id", "id").agg(F.min(F.struct("alpha", "node_id")).alias("m"))
-    return found.select("image_id", "id.p", "id.q", F.col("m.node_id").alias("node_id"), F.col("m.alpha").alias("alpha"))
+    """(image_id, p, q, node_id, alpha) of pixel pairs (image_id, p, q): their lowest common ancestor, whose level is the least highest weight of a path between them.
+
+    The deeper node is raised to the other's depth, and then both by the largest steps after which they are still apart. Pairs without a common ancestor have no row.
+    """
+    up = lifted(tree)
+    leaf = tree.leaves.select("image_id", "p", "node_id")
+    rows = pairs.select("image_id", "p", "q").distinct().join(leaf.withColumnRenamed("node_id", "a"), ["image_id", "p"])
+    rows = shared_checkpoint(rows.join(leaf.select("image_id", F.col("p").alias("q"), F.col("node_id").alias("b")), ["image_id", "q"]))
+    depth = rows.select("image_id", F.explode(F.array("a", "b")).alias("node_id")).distinct().select("image_id", "node_id", F.col("node_id").alias("at"), F.lit(0).cast("bigint").alias("depth"))
+    for k in reversed(range(len(up))):
+        moved = F.when(F.col("at_to").isNotNull(), F.col("depth") + (1 << k)).otherwise(F.col("depth"))
+        depth = shared_checkpoint(_stepped(depth, up[k], "at").select("image_id", "node_id", F.coalesce("at_to", "at").alias("at"), moved.alias("depth")))
+    for c in "ab":
+        rows = rows.join(depth.select("image_id", F.col("node_id").alias(c), F.col("depth").alias(f"d{c}")), ["image_id", c])
+    swap = F.col("da") < F.col("db")
+    rows = rows.select("image_id", "p", "q", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.abs(F.col("da") - F.col("db")).alias("gap"))
+    for k in reversed(range(len(up))):
+        raised = F.when(F.col("gap").bitwiseAND(F.lit(1 << k)) != 0, F.col("a_to")).otherwise(F.col("a"))
+        rows = shared_checkpoint(_stepped(rows, up[k], "a").select("image_id", "p", "q", raised.alias("a"), "b", "gap"))
+    for k in reversed(range(len(up))):
+        apart = F.coalesce(F.col("a_to") != F.col("b_to"), F.lit(False))
+        rows = shared_checkpoint(_stepped(rows, up[k], "a", "b").select("image_id", "p", "q", *(F.when(apart, F.col(f"{c}_to")).otherwise(F.col(c)).alias(c) for c in "ab")))
+    if up:
+        rows = _stepped(rows, up[0], "a", "b").where("a = b or a_to = b_to").select("image_id", "p", "q", F.expr("if(a = b, a, a_to)").alias("a"), "b")
+    else:
+        rows = rows.where("a = b")
+    levels = tree.nodes.select("image_id", F.col("node_id").alias("a"), "alpha")
+    return rows.join(levels, ["image_id", "a"]).select("image_id", "p", "q", F.col("a").alias("node_id"), "alpha")
 
 
 def canonical(nodes: DataFrame) -> DataFrame:
@@ -107,9 +133,16 @@ def canonical(nodes: DataFrame) -> DataFrame:
 
 
 def rolled_up(tree: Hierarchy) -> DataFrame:
-    """(image_id, node_id, area, sum_pix): attributes gathered anew from the pixels, each summed over its leaf's ancestors."""
+    """(image_id, node_id, area, sum_pix): attributes gathered anew from the pixels, each summed over its leaf's ancestors.
+
+    After k rounds a node has the sums of its descendants of fewer than 2^k steps down; a round adds those of the nodes that many steps below.
+    """
     own = tree.leaves.join(tree.grid.pixels.select("image_id", "p", F.get("v", F.lit(0)).alias("v")), ["image_id", "p"])
-    by_leaf = own.groupBy("image_id", "node_id").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
-    chain = ancestors(tree, by_leaf.select("image_id", F.col("node_id").alias("id"), "node_id"))
-    sums = by_leaf.select("image_id", F.col("node_id").alias("id"), "n", "s")
-    return chain.join(sums, ["image_id", "id"]).groupBy("image_id", "node_id").agg(F.sum("n").alias("area"), F.sum("s").alias("sum_pix"))
+    by_leaf = own.groupBy("image_id", "node_id").agg(F.count("*").alias("area"), F.sum("v").alias("sum_pix"))
+    sums = tree.nodes.select("image_id", "node_id").join(by_leaf, ["image_id", "node_id"], "left").fillna({"area": 0, "sum_pix": 0.0})
+    for table in lifted(tree):
+        sums = shared_checkpoint(sums)
+        below = sums.join(table, ["image_id", "node_id"]).groupBy("image_id", F.col("to").alias("node_id")).agg(F.sum("area").alias("n"), F.sum("sum_pix").alias("s"))
+        both = sums.join(below, ["image_id", "node_id"], "left")
+        sums = both.select("image_id", "node_id", (F.col("area") + F.coalesce("n", F.lit(0))).alias("area"), (F.col("sum_pix") + F.coalesce("s", F.lit(0.0))).alias("sum_pix"))
+    return sums

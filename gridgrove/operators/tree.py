@@ -61,16 +61,16 @@ def local_forest(found: DataFrame, *keys: str) -> DataFrame:
     return grouped.applyInPandas(lambda e: build(e[columns]), EDGE)
 
 
-def _dendrogram(p: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, alpha: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
-    """Nodes with one parent each, and each pixel's leaf, from sorted pixels and the spanning tree's edges in order.
+def joined_nodes(level: list, area: list, total: list, low: list, high: list, least: list, x: list, y: list, alpha: list) -> tuple[list, list, list, list, list]:
+    """What edges x - y, in order, make of components 0, 1, ... with one topmost node each: the lists grow by the nodes that edges make.
 
-    A node that meets another of its own level takes over the other's children, so that no chain of equal levels is left.
+    Returns (up, top, parent, moved, made): a component's way to its root, a root's topmost node, each node's parent and the node that took it over (-1: none),
+    and the edge that made each new node. A node that meets another of its own level takes over the other's children, so that no chain of equal levels is left.
     """
-    n = len(p)
-    up, top = list(range(n)), list(range(n))  # of a component's root pixel: its topmost node
-    level, area, total = [0.0] * n, [1] * n, v.tolist()
-    low, high, least, parent, moved = v.tolist(), v.tolist(), p.tolist(), [-1] * n, [-1] * n
-    for x, y, t in zip(np.searchsorted(p, a).tolist(), np.searchsorted(p, b).tolist(), alpha.tolist(), strict=True):
+    n = len(level)
+    up, top = list(range(n)), list(range(n))
+    parent, moved, made = [-1] * n, [-1] * n, []
+    for e, (x, y, t) in enumerate(zip(x, y, alpha, strict=True)):
         while up[x] != x:
             up[x] = up[up[x]]
             x = up[x]
@@ -101,18 +101,35 @@ def _dendrogram(p: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, alph
             least.append(min(least[i], least[j]))
             parent.append(-1)
             moved.append(-1)
+            made.append(e)
             parent[i] = parent[j] = k
         root, child = (x, y) if x < y else (y, x)
         up[child] = root
         top[root] = k
-    final = np.arange(len(level))
-    gone = np.array(moved)
-    final[gone >= 0] = gone[gone >= 0]
-    while (final != final[final]).any():
-        final = final[final]
-    parents = np.array(parent)
-    parents[parents >= 0] = final[parents[parents >= 0]]
-    kept = np.flatnonzero(gone < 0)
+    return up, top, parent, moved, made
+
+
+def path_ends(way: np.ndarray) -> np.ndarray:
+    """Where the path from each place ends."""
+    while (way != way[way]).any():
+        way = way[way]
+    return way
+
+
+def settled(parent: list, moved: list) -> tuple[np.ndarray, np.ndarray]:
+    """The node that each one ended up in, itself where nothing took it over, and the parents with those in place of what was taken over."""
+    gone, parents = np.array(moved, np.int64), np.array(parent, np.int64)
+    final = path_ends(np.where(gone >= 0, gone, np.arange(len(gone))))
+    return final, np.where(parents >= 0, final[parents], -1)
+
+
+def _dendrogram(p: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, alpha: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """Nodes with one parent each, and each pixel's leaf, from sorted pixels and the spanning tree's edges in order."""
+    n = len(p)
+    level, area, total, low, high, least = [0.0] * n, [1] * n, v.tolist(), v.tolist(), v.tolist(), p.tolist()
+    _, _, parent, moved, _ = joined_nodes(level, area, total, low, high, least, np.searchsorted(p, a).tolist(), np.searchsorted(p, b).tolist(), alpha.tolist())
+    final, parents = settled(parent, moved)
+    kept = np.flatnonzero(np.array(moved) < 0)
     nodes = pd.DataFrame({"alpha": np.array(level, np.float32), "min_p": least, "area": area, "sum_pix": total, "min_pix": low, "max_pix": high, "old": np.arange(len(level)), "up": parents}).iloc[kept]
     nodes = nodes.sort_values(["alpha", "min_p"], kind="stable")
     number = np.full(len(level), -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridgrove.functions.scalar import check_connectivity
+from gridgrove.operators.binned import BIN, build_in_bins
 from gridgrove.operators.edges import edges
 from gridgrove.operators.tree import STRATEGIES, Hierarchy, build
 from gridgrove.sources.grid import Grid
@@ -27,7 +28,7 @@ ALGORITHMS = {
     "FloodHeapQueueNaiveNoCache": "kruskal",
 }
 PART_PIXELS = 250_000
-ONE_TASK = 1_000_000  # pixels up to which `auto` takes an image's edges in one task
+ONE_TASK = 1_000_000  # pixels up to which one task builds an image's hierarchy
 NOT_BUILT = ("FloodHierQueueParalle", "FloodHierHeapQueuePar")
 
 
@@ -40,11 +41,15 @@ def strategy(algorithm: str) -> str:
     return ALGORITHMS[algorithm]
 
 
-def build_hierarchy(grid: Grid, connectivity: int = 4, metric: str | None = "L2", algorithm: str = "FloodHierHeapQueue", parts: int | None = None, bins: int = 8) -> Hierarchy:
-    """The hierarchy of each of the grid's images. `auto`, and names that stand for kruskal, choose by the images' size. Tiles, where no number of them is given, have about PART_PIXELS pixels."""
+def build_hierarchy(grid: Grid, connectivity: int = 4, metric: str | None = "L2", algorithm: str = "FloodHierHeapQueue", parts: int | None = None, bins: int = 8, bin_edges: int | None = None) -> Hierarchy:
+    """The hierarchy of each of the grid's images. `auto`, and names that stand for kruskal, choose by the images' size. Tiles, where no number of them is given, have about PART_PIXELS pixels.
+
+    Images of over ONE_TASK pixels are built in bins of at most `bin_edges` edges a task (BIN where none is given), as are smaller ones where it is given.
+    """
     check_connectivity(connectivity)
     parts = parts or max(16, grid.size // PART_PIXELS)
     name = "kruskal" if algorithm == "auto" else strategy(algorithm)
-    name = "tiled" if name == "kruskal" != algorithm and grid.size > ONE_TASK else name
-    found = edges(grid, connectivity, metric)
-    return build(grid, STRATEGIES[name](found, grid, parts=parts, bins=bins, whole=False))
+    large = grid.size > ONE_TASK
+    name = "tiled" if name == "kruskal" != algorithm and large else name
+    spanning = STRATEGIES[name](edges(grid, connectivity, metric), grid, parts=parts, bins=bins, whole=False)
+    return build_in_bins(grid, spanning, bin_edges or BIN) if large or bin_edges else build(grid, spanning)
