@@ -18,7 +18,7 @@ from gridgrove.operators.lineage import shared_checkpoint
 from gridgrove.operators.tree import Hierarchy, joined_nodes, path_ends, pointer_jumped, settled
 from gridgrove.sources.grid import Grid
 
-BIN = 400_000  # edges of an image that one task takes, with at most twice as many components
+BIN = 200_000  # edges of an image that one task takes, with at most twice as many components
 TOP = ("image_id", "c", "id", "alpha", "min_p", "area", "sum_pix", "min_pix", "max_pix")
 OUT = "image_id bigint, c bigint, id bigint, alpha float, min_p bigint, area bigint, sum_pix double, min_pix double, max_pix double, kind string, to bigint"
 

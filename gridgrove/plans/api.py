@@ -27,7 +27,7 @@ ALGORITHMS = {
     "FloodHierHeapQueueNoCache": "kruskal",
     "FloodHeapQueueNaiveNoCache": "kruskal",
 }
-PART_PIXELS = 250_000
+PART_PIXELS = 100_000
 ONE_TASK = 1_000_000  # pixels up to which one task builds an image's hierarchy
 NOT_BUILT = ("FloodHierQueueParalle", "FloodHierHeapQueuePar")
 
