@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from gridgrove.functions import scalar as S
 from gridgrove.operators import edges as E
 from gridgrove.operators import query as Q
 from gridgrove.operators import tree as T
-from gridgrove.plans.api import build_hierarchy
+from gridgrove.plans.api import PART_PIXELS, build_hierarchy
 from gridgrove.sources.grid import Grid, embeddings_grid, random_grid
 
-CROP, STEP, LEVEL = 16, 16, 1.0
+LEVEL = 1.0
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +26,6 @@ def _grid(spark, sf_dir, channels: int = 1) -> Grid:
     return embeddings_grid(spark, sf_dir, channels)
 
 
-def _small(spark, sf_dir) -> Grid:
-    """A corner with few levels, on which SQL can enumerate all components."""
-    return _grid(spark, sf_dir).crop(CROP, CROP).quantised(STEP)
-
-
 def grid_scan(spark, sf_dir):
     return _grid(spark, sf_dir).pixels.select("y", "x", "p", F.get("v", F.lit(0)).alias("v"))
 
@@ -73,83 +70,88 @@ def tree_size_estimate(spark, sf_dir):
     return E.size_estimate(E.histogram(E.edges(grid, 4)), grid.size).select("n_edges", F.round("nrmsd", 9).alias("nrmsd"), F.round("estimate", 3).alias("estimate"))
 
 
-def line_graph(spark, sf_dir, of=_small):
+def line_graph(spark, sf_dir, of=_grid):
     return E.line_graph(E.edges(of(spark, sf_dir), 4)).select("e0", "e1", F.col("alpha").cast("double").alias("alpha"))
 
 
-def acc_labels(spark, sf_dir, of=_small):
+def acc_labels(spark, sf_dir, of=_grid):
     grid = of(spark, sf_dir)
     return T.component_labels(E.edges(grid, 4), grid.pixels, LEVEL).select("p", "label")
 
 
-def acc_attributes(spark, sf_dir, of=_small):
+def acc_attributes(spark, sf_dir, of=_grid):
     grid = of(spark, sf_dir)
     labels = T.component_labels(E.edges(grid, 4), grid.pixels, LEVEL)
     own = labels.join(grid.pixels, ["image_id", "p"]).withColumn("s", F.get("v", F.lit(0)))
     return own.groupBy("label").agg(F.count("*").alias("area"), F.sum("s").alias("sum_pix"), F.min("s").alias("min_pix"), F.max("s").alias("max_pix"))
 
 
-def _tree(spark, sf_dir, of=_small, algorithm: str = "FloodHierHeapQueue"):
-    return build_hierarchy(of(spark, sf_dir), 4, algorithm=algorithm, parts=4, bins=3)
+def _tree(spark, sf_dir, of=_grid, algorithm: str = "FloodHierHeapQueue"):
+    return build_hierarchy(of(spark, sf_dir), 4, algorithm=algorithm)
 
 
 def hierarchy_nodes(algorithm: str):
-    def query(spark, sf_dir, of=_small):
+    def query(spark, sf_dir, of=_grid):
         return _tree(spark, sf_dir, of, algorithm).nodes.select("min_p", "area", F.col("alpha").cast("double").alias("alpha"))
 
     return query
 
 
-def hierarchy_tree(spark, sf_dir, of=_small):
+def hierarchy_tree(spark, sf_dir, of=_grid):
     """Every node with its attributes and its parent, both named by least pixel and level."""
     nodes = _tree(spark, sf_dir, of).nodes
     up = nodes.select("image_id", F.col("node_id").alias("parent_id"), F.col("min_p").alias("parent_min_p"), F.col("alpha").cast("double").alias("parent_alpha"))
     return nodes.join(up, ["image_id", "parent_id"], "left").select("min_p", "area", F.col("alpha").cast("double").alias("alpha"), "sum_pix", "min_pix", "max_pix", "parent_min_p", "parent_alpha")
 
 
-def area_filter(spark, sf_dir):
-    return Q.area_filter(_tree(spark, sf_dir), 25 / CROP**2).select("p", "value")
+def area_filter(spark, sf_dir, of=_grid, share=0.001):
+    return Q.area_filter(_tree(spark, sf_dir, of), share).select("p", "value")
 
 
-def level_filter(spark, sf_dir, of=_small):
+def level_filter(spark, sf_dir, of=_grid):
     return Q.level_filter(_tree(spark, sf_dir, of), 0.2).select("p", F.col("value").cast("bigint").alias("value"))
 
 
-def flat_partition(spark, sf_dir, of=_small):
+def flat_partition(spark, sf_dir, of=_grid):
     return Q.flat_partition(_tree(spark, sf_dir, of), LEVEL).select("p", "label")
 
 
-def common_ancestors(spark, sf_dir, of=_small):
-    """The level that joins each pixel of the first line to the first pixel."""
+def common_ancestors(spark, sf_dir, of=_grid):
+    """The level that joins each pixel to the next of its line."""
     tree = _tree(spark, sf_dir, of)
-    pairs = tree.grid.pixels.where("y = 0 and x > 0").select("image_id", F.lit(0).cast("bigint").alias("p"), F.col("p").alias("q"))
+    pairs = tree.grid.pixels.where(F.col("x") > 0).select("image_id", (F.col("p") - 1).alias("p"), F.col("p").alias("q"))
     return Q.common_ancestor(tree, pairs).select("q", F.col("alpha").cast("double").alias("alpha"))
 
 
-def mst_edges(spark, sf_dir, of=_small):
+def _parts(grid: Grid) -> int:
+    """Tiles of an image: four, or more where they would be large."""
+    return max(4, grid.size // PART_PIXELS)
+
+
+def mst_edges(spark, sf_dir, of=_grid):
     grid = of(spark, sf_dir)
-    return T.spanning_tiled(E.edges(grid, 4), grid, parts=4).select("edge_id", F.col("alpha").cast("double").alias("alpha"))
+    return T.spanning_tiled(E.edges(grid, 4), grid, parts=_parts(grid)).select("edge_id", F.col("alpha").cast("double").alias("alpha"))
 
 
-def strategies_agree(spark, sf_dir, of=lambda spark, sf_dir: _grid(spark, sf_dir).crop(64, 64)):
+def strategies_agree(spark, sf_dir, of=_grid):
     """How many nodes of each strategy the others don't have: none."""
     grid = of(spark, sf_dir)
     plain = T.shared_checkpoint(build_hierarchy(grid, 8, algorithm="kruskal").nodes)
     rows = []
-    for name in ("tiled", "rank_bins", "boruvka"):
-        other = build_hierarchy(grid, 8, algorithm=name, parts=8, bins=4).nodes
+    for name in ("tiled", "rank_bins", "boruvka", "levels"):
+        other = build_hierarchy(grid, 8, algorithm=name, bins=4).nodes
         apart = plain.exceptAll(other).union(other.exceptAll(plain)).agg(F.count("*").alias("mismatches"))
         rows.append(apart.select(F.lit(name).alias("strategy"), "mismatches"))
-    return rows[0].union(rows[1]).union(rows[2])
+    return reduce(DataFrame.union, rows)
 
 
 def area_filter_whole(spark, sf_dir):
     return flagship(spark, sf_dir).select("p", "value")
 
 
-def redundant_edges(spark, sf_dir, of=_small):
+def redundant_edges(spark, sf_dir, of=_grid):
     grid = of(spark, sf_dir)
-    return T.redundant(E.edges(grid, 4), 4, grid).select("edge_id")
+    return T.redundant(E.edges(grid, 4), _parts(grid), grid).select("edge_id")
 
 
 def random_samples_range(spark, sf_dir):
@@ -214,16 +216,11 @@ QUERIES = {
     "area_filter_whole": area_filter_whole,
 }
 
-# The queries above that read a corner, for SQL's sake, over the whole image with all its levels; area_filter_whole is their twin of the area filter.
-_CORNER = ("line_graph", "acc_labels_t", "acc_attributes_t", "hierarchy_nodes", "hierarchy_nodes_tiled", "hierarchy_nodes_rank_bins", "hierarchy_nodes_boruvka", "hierarchy_nodes_levels", "hierarchy_tree", "level_filter", "flat_partition", "common_ancestors", "mst_edges", "redundant_edges", "strategies_agree")
-QUERIES |= {f"{name}_whole": lambda s, d, f=QUERIES[name]: f(s, d, _grid) for name in _CORNER}
-
 _GRID = """g AS (
   SELECT CAST(vec_id AS BIGINT) AS y, CAST(i - 1 AS BIGINT) AS x, CAST(vec_id * 64 + i - 1 AS BIGINT) AS p,
     GREATEST(0.0::DOUBLE, LEAST(255.0::DOUBLE, FLOOR((CAST(embedding[i] AS DOUBLE) + 0.5) * 256))) AS v
   FROM embeddings, (SELECT UNNEST(RANGE(1, 65)) AS i)
 )"""
-_SMALL = _GRID + f""", s AS (SELECT y, x, y * {CROP} + x AS p, FLOOR(v / {STEP}) AS v FROM g WHERE y < {CROP} AND x < {CROP})"""
 
 
 def _edge_sql(table: str, width: int, connectivity: int) -> str:
@@ -251,22 +248,9 @@ _E8 = f"WITH {_GRID}, {_edge_sql('g', 64, 8)}"
 _H4 = _E4 + ", h AS (SELECT CAST(FLOOR(alpha) AS BIGINT) AS level, COUNT(*) AS n FROM e GROUP BY 1)"
 _R4 = _E4 + ", r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY alpha, edge_id) - 1 AS rank FROM e)"
 _T4 = _R4 + ", t AS (SELECT *, p0 // 64 // 250 * 2 + p0 % 64 // 32 AS t0, p1 // 64 // 250 * 2 + p1 % 64 // 32 AS t1 FROM r)"
-_SE = f"WITH RECURSIVE {_SMALL}, {_edge_sql('s', CROP, 4)}"
-# All components at all levels: reach has every pixel that a pixel reaches at a level.
-_CC = (
-    _SE
-    + """, w AS (SELECT p0 AS p, p1 AS q, alpha FROM e UNION ALL SELECT p1, p0, alpha FROM e),
-lv AS (SELECT DISTINCT alpha AS t FROM e UNION SELECT 0.0),
-reach AS (SELECT t, p, p AS q FROM lv, s UNION SELECT r.t, r.p, w.q FROM reach r JOIN w ON w.p = r.q AND w.alpha <= r.t),
-cc AS (SELECT t, p, MIN(q) AS lab, COUNT(*) AS n FROM reach GROUP BY t, p)"""
-)
-_AT = _SE + f""", w AS (SELECT p0 AS p, p1 AS q FROM e WHERE alpha <= {LEVEL} UNION ALL SELECT p1, p0 FROM e WHERE alpha <= {LEVEL}),
-reach AS (SELECT p, p AS q FROM s UNION SELECT r.p, w.q FROM reach r JOIN w ON w.p = r.q),
+_AT = f"WITH RECURSIVE {_GRID}, {_edge_sql('g', 64, 4)}" + f""", w AS (SELECT p0 AS p, p1 AS q FROM e WHERE alpha <= {LEVEL} UNION ALL SELECT p1, p0 FROM e WHERE alpha <= {LEVEL}),
+reach AS (SELECT p, p AS q FROM g UNION SELECT r.p, w.q FROM reach r JOIN w ON w.p = r.q),
 lab AS (SELECT p, MIN(q) AS label FROM reach GROUP BY p)"""
-_NODES = _CC + " SELECT lab AS min_p, n AS area, MIN(t) AS alpha FROM cc WHERE p = lab GROUP BY lab, n"
-# An edge is on the spanning tree if its ends aren't joined by edges before it; the order is (alpha, edge_id).
-_RANKED = _SE + """, o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY alpha, edge_id) AS k FROM e),
-w AS (SELECT p0 AS p, p1 AS q, k FROM o UNION ALL SELECT p1, p0, k FROM o)"""
 _MASK = " + ".join(f"CASE WHEN y + ({dy}) BETWEEN 0 AND m.h AND x + ({dx}) BETWEEN 0 AND 63 THEN {1 << k} ELSE 0 END" for k, (dy, dx) in enumerate([*S.OFFSETS[8], *((-a, -b) for a, b in S.OFFSETS[8])]))
 
 SQL = {
@@ -310,32 +294,11 @@ SELECT p, edge_id, alpha FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p ORDER
     + """ SELECT COUNT(*) AS n, MIN(alpha) AS min_alpha, MAX(alpha) AS max_alpha,
   MIN(edge_id) FILTER (alpha = (SELECT MIN(alpha) FROM e)) AS min_edge, MIN(edge_id) FILTER (alpha = (SELECT MAX(alpha) FROM e)) AS max_edge FROM e""",
     "level_quantile": _H4 + ", c AS (SELECT level, SUM(n) OVER (ORDER BY level) AS cum, SUM(n) OVER () AS t FROM h) SELECT MIN(level) AS level FROM c WHERE cum > t * 0.3::DOUBLE",
-    "line_graph": _SE + ", i AS (SELECT p0 AS p, edge_id, alpha FROM e UNION ALL SELECT p1, edge_id, alpha FROM e) SELECT a.edge_id AS e0, b.edge_id AS e1, GREATEST(a.alpha, b.alpha) AS alpha FROM i a JOIN i b USING (p) WHERE a.edge_id < b.edge_id",
+    "line_graph": _E4 + ", i AS (SELECT p0 AS p, edge_id, alpha FROM e UNION ALL SELECT p1, edge_id, alpha FROM e) SELECT a.edge_id AS e0, b.edge_id AS e1, GREATEST(a.alpha, b.alpha) AS alpha FROM i a JOIN i b USING (p) WHERE a.edge_id < b.edge_id",
     "availability": f"WITH {_GRID}, m AS (SELECT MAX(vec_id) AS h FROM embeddings) SELECT {_MASK} AS mask, COUNT(*) AS n FROM g, m GROUP BY 1",
     "random_samples_range": "SELECT * FROM (VALUES (1, 4096, 0), (8, 4096, 0), (12, 4096, 0), (16, 4096, 0), (32, 4096, 0)) t(bits, n, outside)",
     "acc_labels_t": _AT + " SELECT p, label FROM lab",
-    "acc_attributes_t": _AT + " SELECT label, COUNT(*) AS area, SUM(v) AS sum_pix, MIN(v) AS min_pix, MAX(v) AS max_pix FROM lab JOIN s USING (p) GROUP BY label",
-    **{f"hierarchy_nodes{k}": _NODES for k in ("", "_tiled", "_rank_bins", "_boruvka", "_levels")},
-    "hierarchy_tree": _CC
-    + """, node AS (SELECT lab, n, MIN(t) AS alpha FROM cc WHERE p = lab GROUP BY lab, n),
-own AS (SELECT lab, n, SUM(v) AS sum_pix, MIN(v) AS min_pix, MAX(v) AS max_pix FROM node JOIN reach r ON r.t = node.alpha AND r.p = node.lab JOIN s ON s.p = r.q GROUP BY lab, n),
-up AS (SELECT node.lab, node.n, ARG_MIN(c.lab, c.t) AS parent_min_p, MIN(c.t) AS parent_alpha FROM node JOIN cc c ON c.p = node.lab AND c.n > node.n GROUP BY node.lab, node.n)
-SELECT lab AS min_p, n AS area, alpha, sum_pix, min_pix, max_pix, parent_min_p, parent_alpha FROM node JOIN own USING (lab, n) LEFT JOIN up USING (lab, n)""",
-    "area_filter": _CC + " SELECT p, MIN(t) AS value FROM cc WHERE n >= 25 GROUP BY p",
-    "level_filter": _CC
-    + f""", node AS (SELECT lab, n, MIN(t) AS alpha FROM cc GROUP BY lab, n),
-mine AS (SELECT DISTINCT c.p, c.n, node.alpha FROM cc c JOIN node USING (lab, n)),
-top AS (SELECT MAX(alpha) AS a FROM node WHERE n = {CROP**2})
-SELECT p, COALESCE(MIN(n) FILTER (alpha >= 0.2::DOUBLE * a), MAX(n)) AS value FROM mine, top GROUP BY p""",
+    "acc_attributes_t": _AT + " SELECT label, COUNT(*) AS area, SUM(v) AS sum_pix, MIN(v) AS min_pix, MAX(v) AS max_pix FROM lab JOIN g USING (p) GROUP BY label",
     "flat_partition": _AT + " SELECT p, label FROM lab",
-    "common_ancestors": _CC + f" SELECT q, MIN(t) AS alpha FROM reach WHERE p = 0 AND q BETWEEN 1 AND {CROP - 1} GROUP BY q",
-    "mst_edges": _RANKED
-    + """, reach AS (SELECT k, p0 AS q FROM o UNION SELECT r.k, w.q FROM reach r JOIN w ON w.p = r.q AND w.k < r.k)
-SELECT edge_id, alpha FROM o WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.k = o.k AND r.q = o.p1)""",
-    "redundant_edges": _SE
-    + """, o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY alpha, edge_id) AS k, p0 // 16 // 8 * 2 + p0 % 16 // 8 AS t0, p1 // 16 // 8 * 2 + p1 % 16 // 8 AS t1 FROM e),
-w AS (SELECT p0 AS p, p1 AS q, k FROM o WHERE t0 = t1 UNION ALL SELECT p1, p0, k FROM o WHERE t0 = t1),
-reach AS (SELECT k, p0 AS q FROM o WHERE t0 = t1 UNION SELECT r.k, w.q FROM reach r JOIN w ON w.p = r.q AND w.k < r.k)
-SELECT edge_id FROM o WHERE t0 = t1 AND EXISTS (SELECT 1 FROM reach r WHERE r.k = o.k AND r.q = o.p1)""",
-    "strategies_agree": "SELECT * FROM (VALUES ('tiled', 0), ('rank_bins', 0), ('boruvka', 0)) t(strategy, mismatches)",
+    "strategies_agree": "SELECT * FROM (VALUES ('tiled', 0), ('rank_bins', 0), ('boruvka', 0), ('levels', 0)) t(strategy, mismatches)",
 }

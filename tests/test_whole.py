@@ -1,4 +1,4 @@
-"""The whole-image queries against brute force, on an image larger than the corner that the SQL twins read."""
+"""The queries over the whole hierarchy against brute force, on a whole image with many levels."""
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ def test_whole_queries_read_all_pixels(spark, tmp_path):
     rng = np.random.default_rng(3)
     image = rng.integers(0, 256, (18, 64)) * (rng.random((18, 64)) < 0.5)  # over 64 distinct weights, and plateaus
     pd.DataFrame({"vec_id": np.arange(18), "embedding": list(image / 256 - 0.5)}).to_parquet(tmp_path / "embeddings.parquet")
-    got = {name: [tuple(r) for r in QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect()] for name in RUN}
+    got = {name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] for name in RUN}
     found = brute_edges(image, 4)
 
     def joined(edges):
