@@ -23,6 +23,7 @@ COSINE = 0.98
 BLOCKS = 3
 CODES = 2
 MARGIN = 0.25  # of the distance of two unit vectors at the cosine asked for
+PER_FILTER = 64  # vectors of a length for each filter; recall doesn't depend on it, as the margin is that below the largest filter
 TILE = 1024  # vectors of one filter that are compared with another such tile at once
 
 
@@ -57,26 +58,23 @@ class Code:
         return row, code
 
 
-def unit(vectors: list[list[float] | None], dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors, row numbers) of the vectors that aren't null or zero and hold `dims` finite numbers, no more and no fewer."""
-    at = [k for k, v in enumerate(vectors) if v is not None and len(v) == dims and None not in v]
-    x = np.array([vectors[k] for k in at], float).reshape(len(at), dims)
-    with np.errstate(over="ignore", invalid="ignore"):
-        x = x / np.abs(x).max(axis=1, initial=0, keepdims=True)
-        norm = np.sqrt((x * x).sum(axis=1))
-    good = np.isfinite(norm) & (norm > 0)
-    return x[good] / norm[good, None], np.array(at, np.int64)[good]
+def unit(lists: pa.ListArray) -> np.ndarray:
+    """Unit vectors, in doubles, of equally long lists of finite numbers that aren't all zero."""
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(id, label, v) of the rows that can link, v as doubles; the label begins with the vector's length, as only equally long ones can."""
-    v = F.transform(vector, lambda x: x.cast("double"))
+    """(id, label, v) of the rows that can link, v as floats where it is of floats and else as doubles; the label begins with the vector's length, as only equally long ones can."""
+    floats = vectors.schema[vector].dataType.simpleString() == "array<float>"
+    v = F.col(vector) if floats else F.transform(vector, lambda x: x.cast("double"))
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.concat(F.size(vector), F.lit(":"), F.col(label).cast("string")).alias("label"), v.alias("v")).where("id is not null and label is not null and v is not null")
     return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
 
 
 def listed(classes: DataFrame, cosine: float) -> DataFrame:
-    """(id, label, weight, v, filters) of each class: its unit vector and the sorted numbers of its filters; width is that of its length's codes."""
+    """(id, label, weight, v, filters) of each class: its vector and the sorted numbers of its filters; width is that of its length's codes."""
     part = MARGIN * np.sqrt(max(0.0, 2 - 2 * cosine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,16 +91,17 @@ def listed(classes: DataFrame, cosine: float) -> DataFrame:
                 codes = made[dims, width]
                 for begin in range(0, same.num_rows, 500):
                     b = same.slice(begin, 500)
-                    x, at = unit(b.column("v").to_pylist(), dims)
+                    x = unit(b.column("v"))
                     found = [code.filters(x, part) for code in codes]
                     row = np.concatenate([r for r, _ in found])
                     number = np.concatenate([f * len(found) + k for k, (_, f) in enumerate(found)])
                     order = np.lexsort((number, row))
-                    cut = np.searchsorted(row[order], np.arange(len(at) + 1))
+                    cut = np.searchsorted(row[order], np.arange(len(x) + 1))
                     lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(number[order], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in ("id", "label", "weight")), pa.array([r.tobytes() for r in x], pa.binary()), lists], ["id", "label", "weight", "v", "filters"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "label", "weight", "v")), lists], ["id", "label", "weight", "v", "filters"])
 
-    rows = classes.select("id", "label", "weight", "v", "width").mapInArrow(run, "id bigint, label string, weight bigint, v binary, filters array<bigint>")
+    kind = classes.schema["v"].dataType.simpleString()
+    rows = classes.select("id", "label", "weight", "v", "width").mapInArrow(run, f"id bigint, label string, weight bigint, v {kind}, filters array<bigint>")
     return table(rows, "filters")
 
 
@@ -121,14 +120,15 @@ def compare(found: DataFrame, cosine: float) -> DataFrame:
     """(id, n, least): for each tile pair, how many rows a class links with there, and the smallest class of those it reaches there."""
     rows = found.repartition("label", "f", "i", "j").sortWithinPartitions("label", "f", "i", "j", "tile", "id")
 
-    def flush(key, ids, weights, lists, xs, tile) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        _, f, i, j = key
-        x = np.frombuffer(b"".join(xs), float).reshape(len(ids), -1)
-        ids, weights, tile = np.array(ids), np.array(weights), np.array(tile)
-        longest = max(map(len, lists))
-        padded = np.full((len(lists), longest), -1, np.int64)
-        for k, v in enumerate(lists):
-            padded[k, : len(v)] = v
+    def flush(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column = {c: group.column(c).combine_chunks() for c in group.schema.names}
+        x = unit(column["v"])
+        f, i, j = (column[c][0].as_py() for c in ("f", "i", "j"))
+        ids, weights, tile = (column[c].to_numpy() for c in ("id", "weight", "tile"))
+        size = column["filters"].value_lengths().to_numpy()
+        longest = size.max()
+        padded = np.full((len(ids), longest), -1, np.int64)
+        padded[np.arange(longest) < size[:, None]] = column["filters"].flatten().to_numpy()
         n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         pairs = []
         for begin in range(0, len(ids), TILE):
@@ -167,18 +167,26 @@ def compare(found: DataFrame, cosine: float) -> DataFrame:
         key, held = None, []
 
         def done():
-            if key is not None and len(held) > 1:
-                out = flush(key, *(list(z) for z in zip(*held, strict=True)))
+            group = pa.Table.from_batches(held) if held else None
+            if group is not None and group.num_rows > 1:
+                out = flush(group)
                 if len(out[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in out], ["id", "n", "least"])
 
         for whole in batches:
-            columns = [whole.column(c).to_pylist() for c in ("label", "f", "i", "j", "id", "weight", "filters", "v", "tile")]
-            for label, f, i, j, *rest in zip(*columns, strict=True):
-                if key != (label, f, i, j):
+            if not whole.num_rows:
+                continue
+            names = [whole.column(c) for c in ("label", "f", "i", "j")]
+            apart = np.zeros(whole.num_rows - 1, bool)
+            for name in names:
+                apart |= pa.compute.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False)
+            begins = np.concatenate([[0], np.flatnonzero(apart) + 1])
+            for begin, end in zip(begins, np.append(begins[1:], whole.num_rows), strict=True):
+                this = tuple(name[begin].as_py() for name in names)
+                if key != this:
                     yield from done()
-                    key, held = (label, f, i, j), []
-                held.append(rest)
+                    key, held = this, []
+                held.append(whole.slice(begin, end - begin))
         yield from done()
 
     return rows.select("label", "f", "i", "j", "id", "weight", "filters", "v", "tile").mapInArrow(run, "id bigint, n bigint, least bigint")
@@ -194,8 +202,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     """
     good = usable(vectors, key, vector, label)
     classes = checkpoint(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
-    # about as many filters as vectors of a length
-    width = F.greatest(F.lit(2), F.ceil(F.pow(F.count("*").cast("double"), 1.0 / F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.first(F.size("v")))))).cast("int"))
+    # fewer filters mean more vectors to compare in each, which is cheap, and fewer rows to send
+    width = F.greatest(F.lit(2), F.ceil(F.pow(F.count("*") / F.lit(float(PER_FILTER)), 1.0 / F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.first(F.size("v")))))).cast("int"))
     widths = classes.groupBy(F.size("v").alias("dims")).agg(width.alias("width"))
     rows = listed(classes.withColumn("dims", F.size("v")).join(widths, "dims"), cosine)
     found = checkpoint(compare(tiles(rows), cosine))
