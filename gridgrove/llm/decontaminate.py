@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +136,11 @@ def phrase_matches(segment: dict, phrases: Phrases, most: int = 1 << 20) -> tupl
 
 
 def near_matches(segment: dict, terms: list[str], slop: int) -> np.ndarray:
-    """Positions of the rarest of the terms near which, at most slop words away, all others occur in the same document."""
+    """(first, last) positions of the smallest stretches of a segment, at most slop words from first to last, in which all terms occur.
+
+    A stretch is left out if a smaller one lies within it. The positions of the rarest term near which all others occur
+    tell which parts of the other lists are looked at. Stretches don't pass from one document to the next, as GAP is more than a slop.
+    """
     if slop >= GAP:
         raise ValueError(f"slop must be below {GAP}")
     counts = np.asarray(segment["counts"], np.int64)
@@ -143,12 +148,68 @@ def near_matches(segment: dict, terms: list[str], slop: int) -> np.ndarray:
     postings = np.frombuffer(segment["postings"], np.int32).astype(np.int64)
     at = {t: k for k, t in enumerate(segment["terms"])}
     if not terms or any(t not in at for t in terms):
-        return np.empty(0, np.int64)
+        return np.empty((0, 2), np.int64)
     lists = sorted((postings[begins[at[t]] : begins[at[t]] + counts[at[t]]] for t in dict.fromkeys(terms)), key=len)
-    found = lists[0]
+    rare = lists[0]
     for other in lists[1:]:
-        found = found[np.searchsorted(other, found + slop, "right") > np.searchsorted(other, found - slop)]
-    return found
+        rare = rare[np.searchsorted(other, rare + slop, "right") > np.searchsorted(other, rare - slop)]
+    lists = [x[np.searchsorted(rare, x + slop, "right") > np.searchsorted(rare, x - slop)] for x in lists]
+    last = np.unique(np.concatenate(lists))
+    first = last.copy()
+    for x in lists:  # where each term was seen last
+        k = np.searchsorted(x, last, "right") - 1
+        first = np.minimum(first, np.where(k >= 0, x[np.maximum(k, 0)], -GAP) if len(x) else -GAP)
+    first, k = np.unique(first, return_index=True)
+    last = last[k]
+    good = (first >= 0) & (last - first <= slop)
+    return np.stack([first[good], last[good]], axis=1)
+
+
+def proximity(index: DataFrame, asked: list[tuple[object, str | None]], slop: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, ranges) of the documents of an index in which all words of an item occur, in any order, at most slop words apart.
+
+    ranges are the smallest such stretches of words, as [start, end) in order. asked is a stated query set of (id, text), sent to the
+    executors in blocks of block_bytes of text; null texts and those without words match nothing. The index must hold all words of the items.
+    Documents that share an id have a row each.
+    """
+    if not 0 <= slop < GAP:
+        raise ValueError(f"slop must be from 0 to {GAP - 1}")
+    blocks: list[list[tuple[str, list[str]]]] = [[]]
+    size = 0
+    for item, text in asked:
+        if size > block_bytes:
+            blocks.append([])
+            size = 0
+        size += len(text or "")
+        terms = [w.decode("utf-8", "surrogatepass") for w in dict.fromkeys(words(text))]
+        if terms:
+            blocks[-1].append((str(item), terms))
+
+    def looked(block: list[tuple[str, list[str]]]) -> DataFrame:
+        sent = index.sparkSession.sparkContext.broadcast(block)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    n = np.asarray(row["n_words"], np.int64)
+                    firsts = np.cumsum(n + GAP) - n - GAP
+                    there = set(row["terms"])
+                    docs, items, ranges = [], [], []
+                    for item, terms in sent.value:
+                        if not there.issuperset(terms):
+                            continue
+                        found = near_matches(row, terms, slop)
+                        doc = np.searchsorted(firsts, found[:, 0], "right") - 1
+                        for d in np.unique(doc):
+                            docs.append(row["doc_ids"][d])
+                            items.append(item)
+                            ranges.append([{"start": int(a - firsts[d]), "end": int(b - firsts[d] + 1)} for a, b in found[doc == d]])
+                    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.string()), pa.array(ranges, kind)], ["doc_id", "item_id", "ranges"])
+
+        return index.mapInArrow(look, "doc_id bigint, item_id string, ranges array<struct<start:int,end:int>>")
+
+    return reduce(DataFrame.union, map(looked, blocks))
 
 
 def search(index: DataFrame, phrases: Phrases) -> DataFrame:

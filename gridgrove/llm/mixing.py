@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridgrove.llm.common import checkpoint, small
 
-MOST_RATE = 500.0  # up to which probabilities are summed from 0 copies on, and which given weights may not pass
+MOST_RATE = 500.0  # up to which probabilities are summed from 0 copies on, and beyond which around the mode
 PART_SIZE = 64 << 20  # code points of a partition of the mix, about
 MOST_PARTS = 1_000_000
 
@@ -38,7 +38,7 @@ def target_rates(docs: DataFrame, weights: DataFrame | None = None, power: float
     The mix has `budget` times the corpus' code points, of which a source gets the share of its weight:
     that in `weights` (source, weight), 0 where it is missing there, or else its size raised to `power`.
     A source without text has rate 0. cdf holds the Poisson distribution's cumulative probabilities, from `first` copies on.
-    A rate over 500 under given weights raises an error: so many repetitions are a mistake in them. Weights by size may come to any rate.
+    Weights may come to any rate.
     """
     size = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).cast("bigint").alias("size"))
     if weights is None:
@@ -50,8 +50,6 @@ def target_rates(docs: DataFrame, weights: DataFrame | None = None, power: float
     total = sized.agg(F.sum("size").cast("double").alias("total"), F.sum("weight").alias("weights")).first()
     share = F.lit(float(budget)) * F.lit(total["total"] or 0.0) * F.col("weight") / F.lit(total["weights"] or 1.0)
     rates = sized.withColumn("rate", F.when(F.col("size") > 0, share / F.col("size")).otherwise(F.lit(0.0)))
-    if weights is not None and rates.where(F.col("rate") > MOST_RATE).limit(1).count():
-        raise ValueError(f"a source's mean repetition rate is over {MOST_RATE:g}")
     few = rates.where(F.col("rate") <= MOST_RATE)
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     step = F.aggregate(

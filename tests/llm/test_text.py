@@ -86,6 +86,23 @@ def test_near_terms(spark):
     assert sum(len(decontaminate.near_matches(r.asDict(), ["a", "zz"], 4)) for r in segments) == 0
 
 
+def brute_near(text, terms, slop):
+    seq = lower(text).split() if text else []
+    covers = {(a, b + 1) for a in range(len(seq)) for b in range(a, min(len(seq), a + slop + 1)) if set(terms) <= set(seq[a : b + 1])}
+    return sorted((a, b) for a, b in covers if not any((c, d) != (a, b) and a <= c and d <= b for c, d in covers))
+
+
+def test_proximity_is_brute_force(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("aaabbbccdefgh") for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", "a b", "a b"]
+    asked = [("ab", "a b"), ("cde", "e d c d"), ("h", "H"), ("none", None), ("empty", ""), ("zz", "a zz")]
+    index = decontaminate.build_index(table(spark, texts))
+    for slop in (0, 3, 12):
+        got = sorted((r.doc_id, r.item_id, [(x.start, x.end) for x in r.ranges]) for r in decontaminate.proximity(index, asked, slop, block_bytes=2).collect())
+        want = [(k, i, found) for k, t in enumerate(texts) for i, q in asked if q and (found := brute_near(t, lower(q).split(), slop))]
+        assert got == sorted(want)
+
+
 def test_poisson_mix(spark):
     docs = spark.createDataFrame([(k, "x" * 10, "en", "big" if k % 10 else "small", 10) for k in range(4000)] + [(9001, None, "en", "none", 0), (9002, "x" * 10, "en", None, 10), (9002, "x" * 10, "en", None, 10)], DOCS).withColumn("replica", F.lit(0))
     rates = {r.source: r for r in mixing.target_rates(docs).collect()}
@@ -105,8 +122,8 @@ def test_poisson_mix(spark):
     assert keys == sorted(keys) == [r.shuffle_key for r in got]
     given = spark.createDataFrame([("big", 1.0)], "source string, weight double")
     assert {r.source for r in mixing.poisson_mix(docs, given).select("source").distinct().collect()} == {"big"}
-    with pytest.raises(ValueError):
-        mixing.poisson_mix(docs, given, budget=1e6)
+    few = docs.where("doc_id < 20")  # 18 documents of the weighted source, at a mean of 2000 copies
+    assert mixing.poisson_mix(few, given, budget=1800.0).count() == pytest.approx(36000, abs=5 * 36000**0.5)
     assert mixing.poisson_mix(docs.limit(0)).count() == 0
 
 
