@@ -297,33 +297,31 @@ def gram_scores(counts: DataFrame, buckets: int) -> DataFrame:
 
 
 class Lookup:
-    """Values of 64-bit keys, in an open table of four times their number; keys that aren't there have 0."""
-
-    EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+    """Values of distinct 64-bit keys, sorted by the first bits of their hashes; keys that aren't there have 0."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.bits = max(4, int(4 * len(key)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, self.EMPTY), np.zeros(1 << self.bits)
-        left, at = np.arange(len(key)), self._slot(key)
-        while len(left):
-            free = self.keys[at] == self.EMPTY
-            self.keys[at[free]] = key[left[free]]  # of several that want a slot, one gets it
-            mine = self.keys[at] == key[left]
-            self.values[at[mine]] = value[left[mine]]
-            left, at = left[~mine], (at[~mine] + 1) & ((1 << self.bits) - 1)
+        self.bits = max(4, len(key).bit_length())
+        slot = self._slot(key)
+        self.begins = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(np.bincount(slot, minlength=1 << self.bits), out=self.begins[1:])
+        order = np.argsort(slot)
+        del slot
+        self.keys, self.values = key[order], value[order]
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (mix64(key) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (mix64(key) >> np.uint64(64 - self.bits)).astype(np.int32 if self.bits < 32 else np.int64)
 
     def of(self, key: np.ndarray) -> np.ndarray:
-        at = self._slot(key)
-        out, left = np.zeros(len(key)), np.arange(len(key))
+        slot = self._slot(key)
+        at, end = self.begins[slot], self.begins[slot + 1]
+        out, left = np.zeros(len(key)), np.flatnonzero(at < end)
+        at, end = at[left], end[left]
         while len(left):
-            there = self.keys[at]
-            hit = there == key[left]
+            hit = self.keys[at] == key[left]
             out[left[hit]] = self.values[at[hit]]
-            on = ~hit & (there != self.EMPTY)
-            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+            at = at + 1
+            on = ~hit & (at < end)
+            left, at, end = left[on], at[on], end[on]
         return out
 
 
