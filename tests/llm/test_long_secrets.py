@@ -39,3 +39,21 @@ def test_secrets_of_many_owners_and_nulls(spark, tmp_path):
     assert got == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({secrets.SQL})").fetchall())
     by_id = {r[0]: r for r in got}
     assert by_id[0][6:] == (0, 1) and by_id[1][6] == 1 and by_id[7][6:] == (1, 1) and by_id[902][5].startswith("assign:0:31,live:32:56")
+
+
+def test_secrets_repeated_by_their_owner_in_tables_of_any_size(spark, tmp_path):
+    """A token that one document repeats is live, whatever share of all candidates it makes up: as SQL has it."""
+    own = " ".join(["own11own22own33own44own55"] * 5)
+    rows = [(0, own, "r1"), (1, "twice1twice2twice3twice4 " * 2, "r1"), (2, "twice1twice2twice3twice4 " * 3, "r1"), *((k, "wide11wide22wide33wide44 " * 2, f"r{k % 2}") for k in range(3, 9))]
+    filler = [(k, " ".join(f"{k:04d}fill{i:04d}a1b2c3d4e5f6g7" for i in range(600)), "r1") for k in range(100, 200)]  # 60,000 candidates
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied"]
+    found = []
+    for name, all_rows in (("alone", rows), ("beside", rows + filler)):
+        spark.createDataFrame(all_rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = sorted(tuple(r) for r in secrets.op9_secrets(spark, str(tmp_path / name)).select(*names).collect())
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        assert got == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({secrets.SQL})").fetchall())
+        found.append(got[: len(rows)])
+    assert found[0] == found[1]
+    assert [r[6:] for r in found[0][:4]] == [(5, 0), (2, 0), (3, 0), (0, 2)]
