@@ -67,17 +67,37 @@ def _touched(comps: DataFrame, edges: DataFrame) -> DataFrame:
     return shared_checkpoint(comps.join(ends, ["image_id", "c"], "left_semi").select(*TOP))
 
 
-def _bins(edges: DataFrame, comps: DataFrame, first: int, last: int, pixels: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+def _packed(edges: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The edges with the bins numbered anew from 0, and how many these are: neighbours that hold at most `size` edges of each image together become one."""
+    number, held, last = {}, {}, -1
+    counts: dict[int, dict[int, int]] = {}
+    for r in edges.groupBy("bin", "image_id").count().collect():
+        counts.setdefault(r[0], {})[r[1]] = r[2]
+    for old in sorted(counts):
+        if last < 0 or any(n + held.get(image, 0) > size for image, n in counts[old].items()):
+            last, held = last + 1, {}
+        for image, n in counts[old].items():
+            held[image] = held.get(image, 0) + n
+        number[old] = last
+    if not number:
+        return edges, 0
+    anew = F.get(F.array(*(F.lit(number.get(k, -1)).cast("bigint") for k in range(max(number) + 1))), F.col("bin").cast("int"))
+    return edges.withColumn("bin", anew), last + 1
+
+
+def _bins(edges: DataFrame, comps: DataFrame, first: int, last: int, pixels: int, size: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
     """Closed nodes, new names and topmost nodes of all the components given, after the bins from first up to last."""
     if last - first == 1:
         return _one_bin(edges, comps, pixels)
     middle = (first + last) // 2
     early = edges.where(F.col("bin") < middle)
-    closed, names, tops = _bins(early, _touched(comps, early), first, middle, pixels)
-    late = shared_checkpoint(_renamed(edges.where(F.col("bin") >= middle), names))
+    closed, names, tops = _bins(early, _touched(comps, early), first, middle, pixels, size)
+    late, n = _packed(shared_checkpoint(_renamed(edges.where(F.col("bin") >= middle), names)), size)
+    if not n:
+        return closed, names, tops
     key = ["image_id", "c"]
     there = comps.join(names, key, "left_anti").select(*TOP).union(tops)
-    closed_late, names_late, tops_late = _bins(late, _touched(there, late), middle, last, pixels)
+    closed_late, names_late, tops_late = _bins(late, _touched(there, late), 0, n, pixels, size)
     over = names_late.select("image_id", F.col("c").alias("to"), F.col("to").alias("_n"))
     through = names.join(over, ["image_id", "to"], "left").select("image_id", "c", F.coalesce("_n", "to").alias("to"))
     names_all = shared_checkpoint(through.union(names_late.join(names, key, "left_anti").select("image_id", "c", "to")))
@@ -85,10 +105,10 @@ def _bins(edges: DataFrame, comps: DataFrame, first: int, last: int, pixels: int
     return closed + closed_late, names_all, tops_all
 
 
-def build_in_bins(grid: Grid, found: DataFrame, size: int = BIN) -> Hierarchy:
+def build_in_bins(grid: Grid, found: DataFrame, size: int = BIN, keep_leaves: bool = True) -> Hierarchy:
     """The same hierarchy as `build`, from edges that hold the spanning tree, by tasks that take at most `size` edges of an image each.
 
-    All images' bins of a number run side by side; a pixel without edges is a node without a parent.
+    All images' bins of a number run side by side; a pixel without edges is a node without a parent. Leaves that aren't kept are found when they are asked for.
     """
     edges = shared_checkpoint(ranked(found).select("image_id", "rank", F.col("p0").alias("c0"), F.col("p1").alias("c1"), "alpha", F.expr(f"rank div {int(size)}").alias("bin")))
     v, p = F.get("v", F.lit(0)).cast("double"), F.col("p")
@@ -96,15 +116,15 @@ def build_in_bins(grid: Grid, found: DataFrame, size: int = BIN) -> Hierarchy:
     last = edges.agg(F.max("bin")).first()[0]
     rows = comps.select(*TOP, F.lit("top").alias("kind"), F.lit(-1).cast("bigint").alias("to"))
     if last is not None:
-        closed, names, tops = _bins(edges, _touched(comps, edges), 0, last + 1, grid.size)
+        closed, names, tops = _bins(edges, _touched(comps, edges), 0, last + 1, grid.size, int(size))
         rows = rows.join(names, ["image_id", "c"], "left_anti").select(*TOP, "kind", "to")
         rows = rows.union(tops.select(*TOP, F.lit("top").alias("kind"), F.lit(-1).cast("bigint").alias("to")))
         for part in closed:
             rows = rows.union(part.select(*TOP, "kind", "to"))
-    return _numbered(grid, shared_checkpoint(rows))
+    return _numbered(grid, shared_checkpoint(rows), keep_leaves)
 
 
-def _numbered(grid: Grid, rows: DataFrame) -> Hierarchy:
+def _numbered(grid: Grid, rows: DataFrame, keep_leaves: bool) -> Hierarchy:
     """Nodes in the order of (alpha, least pixel), with what took them over in place of the nodes that were."""
     taken = rows.where("kind = 'taken'").select("image_id", "id", "to")
     stay = taken.select("image_id", F.col("to").alias("id"), "to").distinct().join(taken.select("image_id", "id"), ["image_id", "id"], "left_anti")
@@ -118,4 +138,4 @@ def _numbered(grid: Grid, rows: DataFrame) -> Hierarchy:
     made = nodes.join(above, ["image_id", "parent"], "left").select("image_id", "node_id", "alpha", "min_p", "area", "sum_pix", "min_pix", "max_pix", "parent_id")
     leaves = grid.pixels.select("image_id", "p", F.col("p").alias("id")).join(into, ["image_id", "id"], "left").select("image_id", "p", F.coalesce("to", "id").alias("id"))
     leaves = leaves.join(number, ["image_id", "id"]).select("image_id", "p", "node_id")
-    return Hierarchy(shared_checkpoint(made), shared_checkpoint(leaves), grid)
+    return Hierarchy(shared_checkpoint(made), shared_checkpoint(leaves) if keep_leaves else leaves, grid)

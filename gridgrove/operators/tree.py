@@ -20,6 +20,7 @@ from gridgrove.operators.lineage import shared_checkpoint
 from gridgrove.sources.grid import Grid
 
 EDGE = "image_id bigint, edge_id bigint, p0 bigint, p1 bigint, alpha float"
+TAIL = 200_000  # edges between an image's components that one task joins
 
 
 @dataclass(frozen=True)
@@ -31,8 +32,8 @@ class Hierarchy:
     grid: Grid
 
 
-def _forest(p0: np.ndarray, p1: np.ndarray) -> np.ndarray:
-    """Which of the edges, already in order, join two components: the places of the minimum spanning forest's edges."""
+def _forest(p0: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the edges, already in order, join two components: the places of the minimum spanning forest's edges. Also all ends, and the least of each one's component."""
     pixels, ends = np.unique(np.concatenate([p0, p1]), return_inverse=True)
     up = list(range(len(pixels)))
     kept = []
@@ -46,7 +47,7 @@ def _forest(p0: np.ndarray, p1: np.ndarray) -> np.ndarray:
         if a != b:
             up[max(a, b)] = min(a, b)
             kept.append(k)
-    return np.array(kept, np.int64)
+    return np.array(kept, np.int64), pixels, pixels[path_ends(np.array(up, np.int64))]
 
 
 def local_forest(found: DataFrame, *keys: str) -> DataFrame:
@@ -54,7 +55,7 @@ def local_forest(found: DataFrame, *keys: str) -> DataFrame:
 
     def build(edges: pd.DataFrame) -> pd.DataFrame:
         edges = edges.sort_values(["alpha", "edge_id"], kind="stable")
-        return edges.iloc[_forest(edges.p0.to_numpy(), edges.p1.to_numpy())]
+        return edges.iloc[_forest(edges.p0.to_numpy(), edges.p1.to_numpy())[0]]
 
     columns = ["image_id", "edge_id", "p0", "p1", "alpha"]
     grouped = found.select(*columns, *(k for k in keys if k not in columns)).groupBy(*keys)
@@ -218,55 +219,101 @@ def pointer_jumped(jump: DataFrame, node: str = "c") -> DataFrame:
             return jump
 
 
-def _merged(left: DataFrame, tree: DataFrame, most: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rounds over the edges (..., c0, c1) of weights up to `most` until they join no two components: what is left of all edges, and the tree with those taken."""
+def _round(active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges that a round takes, one for each component, and the components' names (image_id, c, to) after it."""
+    first = F.min(F.struct("alpha", "edge_id", "p0", "p1", "d"))
+    ends = active.select("image_id", F.inline(F.array(F.struct(F.col("c0").alias("c"), F.col("c1").alias("d")), F.struct(F.col("c1").alias("c"), F.col("c0").alias("d")))), "alpha", "edge_id", "p0", "p1")
+    chosen = shared_checkpoint(ends.groupBy("image_id", "c").agg(first.alias("m")).select("image_id", "c", "m.*"))
+    to = chosen.select("image_id", "c", F.col("d").alias("to"))
+    back = to.select("image_id", F.col("c").alias("to"), F.col("to").alias("back"))
+    # two components that chose one edge point at each other, and the smaller becomes the root
+    own = F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to"))
+    jump = shared_checkpoint(to.join(back, ["image_id", "to"]).select("image_id", "c", own.alias("to")))
+    return chosen.select(*COLUMNS).distinct(), pointer_jumped(jump)
+
+
+JOINED = EDGE + ", c bigint, to bigint"
+
+
+def _in_one_task(active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of all edges of an image at once, in order."""
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["alpha", "edge_id"], kind="stable")
+        kept, ends, least = _forest(part.c0.to_numpy(), part.c1.to_numpy())
+        names = pd.DataFrame({"image_id": part.image_id.iloc[0], "edge_id": -1, "p0": -1, "p1": -1, "alpha": np.float32(0), "c": ends, "to": least})
+        return pd.concat([part.iloc[kept][[*COLUMNS]].assign(c=-1, to=-1), names])
+
+    out = shared_checkpoint(active.groupBy("image_id").applyInPandas(join, JOINED))
+    return out.where("c < 0").select(*COLUMNS), out.where("c >= 0").select("image_id", "c", "to")
+
+
+def _renamed(left: DataFrame, names: DataFrame) -> DataFrame:
+    """The edges between the components' new names: of those between the same two, the first."""
+    for c in ("c0", "c1"):
+        left = left.join(names.select("image_id", F.col("c").alias(c), F.col("to").alias("_n")), ["image_id", c], "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
+    pair = (F.least("c0", "c1").alias("c0"), F.greatest("c0", "c1").alias("c1"))
+    first = F.min(F.struct("alpha", "edge_id", "p0", "p1")).alias("m")
+    return shared_checkpoint(left.where("c0 <> c1").groupBy("image_id", *pair).agg(first).select("image_id", "m.edge_id", "m.p0", "m.p1", "m.alpha", "c0", "c1"))
+
+
+def _merged(left: DataFrame, tree: DataFrame, most: float | None = None, rounds: int = 0, tail: int = TAIL) -> tuple[DataFrame, DataFrame]:
+    """The edges (..., c0, c1) of weights up to `most` join components until they join no two: what is left of the heavier edges, and the tree with those taken.
+
+    Rounds, `rounds` at least, shrink the edges until no image has more than `tail` between its components; one task an image takes these. The heavier
+    edges get the components' names once, after the rounds.
+    """
+    active = left if most is None else left.where(F.col("alpha") <= F.lit(most))
+    names = None
     while True:
-        active = left if most is None else left.where(F.col("alpha") <= F.lit(most))
-        if not active.limit(1).count():
-            return left, tree
-        first = F.min(F.struct("alpha", "edge_id", "p0", "p1", "d"))
-        ends = active.select("image_id", F.inline(F.array(F.struct(F.col("c0").alias("c"), F.col("c1").alias("d")), F.struct(F.col("c1").alias("c"), F.col("c0").alias("d")))), "alpha", "edge_id", "p0", "p1")
-        chosen = shared_checkpoint(ends.groupBy("image_id", "c").agg(first.alias("m")).select("image_id", "c", "m.*"))
-        tree = tree.union(chosen.select("image_id", "edge_id", "p0", "p1", "alpha").distinct())
-        to = chosen.select("image_id", "c", F.col("d").alias("to"))
-        back = to.select("image_id", F.col("c").alias("to"), F.col("to").alias("back"))
-        # two components that chose one edge point at each other, and the smaller becomes the root; one that chose nothing is a root
-        root = F.col("back").isNull() | ((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")))
-        own = F.when(F.col("back").isNotNull() & (F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to"))
-        jump = to.join(back, ["image_id", "to"], "left").select("image_id", "c", own.alias("to"), root.alias("_r"))
-        ends_of = jump.where("_r and to <> c").select("image_id", F.col("to").alias("c"), "to")
-        jump = shared_checkpoint(jump.select("image_id", "c", "to").union(ends_of.distinct()))
-        jump = pointer_jumped(jump)
-        for c in ("c0", "c1"):
-            names = jump.select("image_id", F.col("c").alias(c), F.col("to").alias("_n"))
-            left = left.join(names, ["image_id", c], "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
-        left = shared_checkpoint(left.where("c0 <> c1"))
+        size = active.groupBy("image_id").count().agg(F.max("count")).first()[0]
+        if not size:
+            break
+        last = rounds <= 0 and size <= tail
+        taken, then = _in_one_task(active) if last else _round(active)
+        tree, rounds = tree.union(taken), rounds - 1
+        if names is not None and most is not None:
+            over = then.select("image_id", F.col("c").alias("to"), F.col("to").alias("_n"))
+            names = shared_checkpoint(names.join(over, ["image_id", "to"], "left").select("image_id", "c", F.coalesce("_n", "to").alias("to")))
+        else:
+            names = then
+        if last:
+            break
+        active = _renamed(active, then)
+    if most is None:
+        return left.limit(0), tree
+    heavy = left.where(F.col("alpha") > F.lit(most))
+    return heavy if names is None else _renamed(heavy, names), tree
 
 
 def _unmerged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    left = shared_checkpoint(found.select("image_id", "edge_id", "p0", "p1", "alpha", F.col("p0").alias("c0"), F.col("p1").alias("c1")))
-    return left, left.select("image_id", "edge_id", "p0", "p1", "alpha").limit(0)
+    left = found.select(*COLUMNS, F.col("p0").alias("c0"), F.col("p1").alias("c1"))
+    return left, found.select(*COLUMNS).limit(0)
 
 
-def spanning_boruvka(found: DataFrame, grid: Grid, **_) -> DataFrame:
-    """Rounds in which every component takes its first edge, and components merge by pointer jumping: no Python and no gathered image.
+def spanning_boruvka(found: DataFrame, grid: Grid, kept: bool = False, tail: int = TAIL, **_) -> DataFrame:
+    """Rounds in which every component takes its first edge, and components merge by pointer jumping; each takes at most half of the components to the next.
 
-    At most log2(pixels) rounds; lineage is cut in the shared folder after each.
+    After the first, edges between components are taken by one task an image where these are at most `tail`. Lineage is cut in the shared folder
+    after each round; `kept` tells that the edges are there already.
     """
-    return shared_checkpoint(_merged(*_unmerged(found))[1])
+    left, tree = _unmerged(found if kept else shared_checkpoint(found.select(*COLUMNS)))
+    return shared_checkpoint(_merged(left, tree, rounds=1, tail=tail)[1])
 
 
-def spanning_levels(found: DataFrame, grid: Grid, most: int = 64, bins: int = 8, **_) -> DataFrame:
+def spanning_levels(found: DataFrame, grid: Grid, most: int = 64, bins: int = 8, kept: bool = False, tail: int = TAIL, **_) -> DataFrame:
     """One level after the other, for up to `most` distinct weights: the edges of a level join the components of those below.
 
-    More weights are taken in about `bins` ranges of levels, each in rounds until its edges join no two components.
+    More weights are taken in about `bins` ranges of levels, each until its edges join no two components: in one task an image where
+    these are at most `tail`, or after rounds.
     """
+    found = found if kept else shared_checkpoint(found.select(*COLUMNS))
     levels = [r[0] for r in found.select("alpha").distinct().orderBy("alpha").limit(most + 1).collect()]
     if len(levels) > most:
         levels = [*sorted(set(found.approxQuantile("alpha", [k / bins for k in range(1, bins)], 0.25 / bins))), None]
     left, tree = _unmerged(found)
     for level in levels:
-        left, tree = _merged(left, tree, level)
+        left, tree = _merged(left, tree, level, tail=tail)
     return shared_checkpoint(tree)
 
 

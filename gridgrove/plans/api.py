@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from gridgrove.functions.scalar import check_connectivity
 from gridgrove.operators.binned import BIN, build_in_bins
 from gridgrove.operators.edges import edges
-from gridgrove.operators.tree import STRATEGIES, Hierarchy, build
+from gridgrove.operators.lineage import shared_checkpoint
+from gridgrove.operators.tree import COLUMNS, STRATEGIES, Hierarchy, build
 from gridgrove.sources.grid import Grid
 
 # Names that configurations use for algorithms. All give the same hierarchy; each stands for the strategy next to it.
@@ -41,6 +47,16 @@ def strategy(algorithm: str) -> str:
     return ALGORITHMS[algorithm]
 
 
+def _name(algorithm: str, large: bool) -> str:
+    """The strategy that an algorithm's name stands for, by the images' size."""
+    name = "kruskal" if algorithm == "auto" else strategy(algorithm)
+    return "tiled" if name == "kruskal" != algorithm and large else name
+
+
+def _built(grid: Grid, spanning: DataFrame, bin_edges: int | None, keep_leaves: bool = True) -> Hierarchy:
+    return build_in_bins(grid, spanning, bin_edges or BIN, keep_leaves) if grid.size > ONE_TASK or bin_edges else build(grid, spanning)
+
+
 def build_hierarchy(grid: Grid, connectivity: int = 4, metric: str | None = "L2", algorithm: str = "FloodHierHeapQueue", parts: int | None = None, bins: int = 8, bin_edges: int | None = None) -> Hierarchy:
     """The hierarchy of each of the grid's images. `auto`, and names that stand for kruskal, choose by the images' size. Tiles, where no number of them is given, have about PART_PIXELS pixels.
 
@@ -48,8 +64,25 @@ def build_hierarchy(grid: Grid, connectivity: int = 4, metric: str | None = "L2"
     """
     check_connectivity(connectivity)
     parts = parts or max(16, grid.size // PART_PIXELS)
-    name = "kruskal" if algorithm == "auto" else strategy(algorithm)
-    large = grid.size > ONE_TASK
-    name = "tiled" if name == "kruskal" != algorithm and large else name
-    spanning = STRATEGIES[name](edges(grid, connectivity, metric), grid, parts=parts, bins=bins, whole=False)
-    return build_in_bins(grid, spanning, bin_edges or BIN) if large or bin_edges else build(grid, spanning)
+    name = _name(algorithm, grid.size > ONE_TASK)
+    return _built(grid, STRATEGIES[name](edges(grid, connectivity, metric), grid, parts=parts, bins=bins, whole=False), bin_edges)
+
+
+def build_hierarchies(grid: Grid, algorithms: tuple[str, ...], connectivity: int = 4, metric: str | None = "L2", parts: int | None = None, bins: int = 8, bin_edges: int | None = None) -> Hierarchy:
+    """What `build_hierarchy` makes by each of several algorithms, built side by side as images of one grid: image i by the k-th of n is image i * n + k.
+
+    Each algorithm finds its own edges and each image is built by itself; the edges' weights are computed once, and the builds' steps are shared jobs.
+    """
+    check_connectivity(connectivity)
+    parts = parts or max(16, grid.size // PART_PIXELS)
+    found = shared_checkpoint(edges(grid, connectivity, metric).select(*COLUMNS))
+
+    def image(k: int):
+        return (F.col("image_id") * len(algorithms) + k).alias("image_id")
+
+    spanning = []
+    for k, algorithm in enumerate(algorithms):
+        own = STRATEGIES[_name(algorithm, grid.size > ONE_TASK)](found, grid, parts=parts, bins=bins, whole=False, kept=True)
+        spanning.append(own.select(image(k), *COLUMNS[1:]))
+    pixels = grid.pixels.withColumn("image_id", F.explode(F.array(*(image(k) for k in range(len(algorithms))))))
+    return _built(Grid(pixels, grid.height, grid.width, grid.channels, grid.bits), reduce(DataFrame.union, spanning), bin_edges, keep_leaves=False)
