@@ -113,22 +113,48 @@ def build_in_bins(grid: Grid, found: DataFrame, size: int = BIN, keep_leaves: bo
     edges = shared_checkpoint(ranked(found).select("image_id", "rank", F.col("p0").alias("c0"), F.col("p1").alias("c1"), "alpha", F.expr(f"rank div {int(size)}").alias("bin")))
     v, p = F.get("v", F.lit(0)).cast("double"), F.col("p")
     comps = grid.pixels.select("image_id", p.alias("c"), p.alias("id"), F.lit(0.0).cast("float").alias("alpha"), p.alias("min_p"), F.lit(1).cast("bigint").alias("area"), v.alias("sum_pix"), v.alias("min_pix"), v.alias("max_pix"))
+    return _numbered(grid, shared_checkpoint(_joined(edges, comps, grid.size, int(size))), keep_leaves)
+
+
+def _joined(edges: DataFrame, comps: DataFrame, pixels: int, size: int) -> DataFrame:
+    """Rows (image_id, c, id, ..., kind, to) of all nodes that the edges, in bins, make of the components, and of those that were taken over."""
     last = edges.agg(F.max("bin")).first()[0]
     rows = comps.select(*TOP, F.lit("top").alias("kind"), F.lit(-1).cast("bigint").alias("to"))
     if last is not None:
-        closed, names, tops = _bins(edges, _touched(comps, edges), 0, last + 1, grid.size, int(size))
+        closed, names, tops = _bins(edges, _touched(comps, edges), 0, last + 1, pixels, size)
         rows = rows.join(names, ["image_id", "c"], "left_anti").select(*TOP, "kind", "to")
         rows = rows.union(tops.select(*TOP, F.lit("top").alias("kind"), F.lit(-1).cast("bigint").alias("to")))
         for part in closed:
             rows = rows.union(part.select(*TOP, "kind", "to"))
-    return _numbered(grid, shared_checkpoint(rows), keep_leaves)
+    return rows
 
 
-def _numbered(grid: Grid, rows: DataFrame, keep_leaves: bool) -> Hierarchy:
-    """Nodes in the order of (alpha, least pixel), with what took them over in place of the nodes that were."""
+def _ended(rows: DataFrame) -> DataFrame:
+    """(image_id, id, to): the nodes that took over others, and these, with the node that each one ended up in."""
     taken = rows.where("kind = 'taken'").select("image_id", "id", "to")
     stay = taken.select("image_id", F.col("to").alias("id"), "to").distinct().join(taken.select("image_id", "id"), ["image_id", "id"], "left_anti")
-    into = pointer_jumped(shared_checkpoint(taken.union(stay.select("image_id", "id", "to"))), "id")
+    return pointer_jumped(shared_checkpoint(taken.union(stay.select("image_id", "id", "to"))), "id")
+
+
+def named_tops(comps: DataFrame, found: DataFrame, pixels: int, size: int = BIN) -> tuple[DataFrame, DataFrame]:
+    """What edges (image_id, edge_id, c0, c1, alpha) make of components, given with their topmost nodes, whose ids are under `pixels`.
+
+    Returns the nodes, with their parents' levels and least pixels (NaN and -1: none), and the level and least pixel that each id stands for now.
+    """
+    edges = shared_checkpoint(ranked(found).select("image_id", "rank", "c0", "c1", "alpha", F.expr(f"rank div {int(size)}").alias("bin")))
+    rows = shared_checkpoint(_joined(edges, shared_checkpoint(comps), pixels, int(size)))
+    alive, into = rows.where("kind <> 'taken'"), _ended(rows)
+    known = alive.select("image_id", "id", "alpha", "min_p")
+    gone = into.where("id <> to").join(known.withColumnRenamed("id", "to"), ["image_id", "to"]).select(*known.columns)
+    names = shared_checkpoint(known.union(gone))
+    above = names.select("image_id", F.col("id").alias("to"), F.col("alpha").alias("up_alpha"), F.col("min_p").alias("up_min_p"))
+    over = alive.join(above, ["image_id", "to"], "left").select(*(c for c in TOP if c not in ("c", "id")), F.coalesce("up_alpha", F.lit("NaN").cast("float")).alias("up_alpha"), F.coalesce("up_min_p", F.lit(-1)).alias("up_min_p"))
+    return over, names
+
+
+def _numbered(grid: Grid, rows: DataFrame, keep_leaves: bool) -> Hierarchy:
+    """Nodes in the order of (alpha, least pixel), with what took them over in place of the nodes that were."""
+    into = _ended(rows)
     nodes = rows.where("kind <> 'taken'").drop("c").withColumnRenamed("to", "parent")
     parent = into.select("image_id", F.col("id").alias("parent"), F.col("to").alias("_n"))
     nodes = nodes.join(parent, ["image_id", "parent"], "left").withColumn("parent", F.coalesce("_n", "parent")).drop("_n")

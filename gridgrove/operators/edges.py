@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +36,16 @@ def edge_count(height: int, width: int, connectivity: int) -> int:
     return straight + (2 * (width - 1) * (height - 1) if check_connectivity(connectivity) == 8 else 0)
 
 
-def ranked(found: DataFrame, parts: int | None = None) -> DataFrame:
+def ranked(found: DataFrame, parts: int | None = None, keep: Callable[[DataFrame], DataFrame] = shared_checkpoint) -> DataFrame:
     """Edges with a rank from 0 by (alpha, edge_id) within their image.
 
     The edges are range-partitioned; a partition's ranks begin after the counts of those before it, so that no image
     is gathered in one task. Images may share partitions. The partitions are written once: sampled anew, or coalesced
-    otherwise, a second use could have others.
+    otherwise, a second use could have others. `keep` writes them.
     """
     order = ["image_id", "alpha", "edge_id"]
     placed = (found.repartitionByRange(parts, *order) if parts else found.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
-    placed = shared_checkpoint(placed)
+    placed = keep(placed)
     local = placed.withColumn("_local", F.row_number().over(Window.partitionBy("_part", "image_id").orderBy("alpha", "edge_id")) - 1)
     sizes = placed.groupBy("_part", "image_id").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("image_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridgrove.functions.scalar import tile_grid, tile_of
+from gridgrove.operators.contract import TILE, contracted, tile_columns
 from gridgrove.operators.edges import both_ways, ranked
-from gridgrove.operators.lineage import shared_checkpoint
+from gridgrove.operators.lineage import shared_checkpoint, shared_table
 from gridgrove.sources.grid import Grid
 
 EDGE = "image_id bigint, edge_id bigint, p0 bigint, p1 bigint, alpha float"
@@ -193,15 +194,19 @@ def spanning_tiled(found: DataFrame, grid: Grid, parts: int = 16, whole: bool =
     return local_forest(left, "image_id") if whole else left
 
 
-def spanning_ranked(found: DataFrame, grid: Grid, bins: int = 8, whole: bool = True, **_) -> DataFrame:
+def spanning_ranked(found: DataFrame, grid: Grid, bins: int = 8, whole: bool = True, tile: int = TILE, **_) -> DataFrame:
     """Bins of the edges' ranks: each bin's forest by itself, and then the image's.
 
     A bin's cycles lose their heaviest edges wherever the other bins' edges are; what is left of all bins is a fraction of the edges.
+    Of images of over `tile` pixels, a bin's edges within each tile, and those between each two, are a forest of their own, so that no task holds a whole bin.
     """
-    with_ranks = ranked(found)
+    large = grid.size > tile
+    with_ranks = ranked(found.select(*COLUMNS), keep=shared_table) if large else ranked(found)
     size = max(1, -(-(grid.size * 4) // bins))
     placed = with_ranks.withColumn("b", F.floor(F.col("rank") / size).cast("bigint"))
-    left = local_forest(placed, "image_id", "b")
+    if large:
+        placed = placed.withColumns(dict(zip(("t", "u"), tile_columns(grid, tile, "p0", "p1"), strict=True)))
+    left = local_forest(placed, "image_id", "b", *(("t", "u") if large else ()))
     return local_forest(left, "image_id") if whole else left
 
 
@@ -291,30 +296,38 @@ def _unmerged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, found.select(*COLUMNS).limit(0)
 
 
-def spanning_boruvka(found: DataFrame, grid: Grid, kept: bool = False, tail: int = TAIL, **_) -> DataFrame:
+def spanning_boruvka(found: DataFrame, grid: Grid, kept: bool = False, tail: int = TAIL, tile: int = TILE, **_) -> DataFrame:
     """Rounds in which every component takes its first edge, and components merge by pointer jumping; each takes at most half of the components to the next.
 
     After the first, edges between components are taken by one task an image where these are at most `tail`. Lineage is cut in the shared folder
-    after each round; `kept` tells that the edges are there already.
+    after each round; `kept` tells that the edges are there already. In images of over `tile` pixels, tiles go through rounds by themselves before.
     """
+    if grid.size > tile:
+        taken, left = contracted(found, grid, "rounds", tile)
+        return _merged(shared_checkpoint(left), taken, tail=tail)[1]
     left, tree = _unmerged(found if kept else shared_checkpoint(found.select(*COLUMNS)))
     return shared_checkpoint(_merged(left, tree, rounds=1, tail=tail)[1])
 
 
-def spanning_levels(found: DataFrame, grid: Grid, most: int = 64, bins: int = 8, kept: bool = False, tail: int = TAIL, **_) -> DataFrame:
+def spanning_levels(found: DataFrame, grid: Grid, most: int = 64, bins: int = 8, kept: bool = False, tail: int = TAIL, tile: int = TILE, **_) -> DataFrame:
     """One level after the other, for up to `most` distinct weights: the edges of a level join the components of those below.
 
     More weights are taken in about `bins` ranges of levels, each until its edges join no two components: in one task an image where
-    these are at most `tail`, or after rounds.
+    these are at most `tail`, or after rounds. In images of over `tile` pixels, tiles go through all levels by themselves before.
     """
-    found = found if kept else shared_checkpoint(found.select(*COLUMNS))
+    large = grid.size > tile
+    if large:
+        tree, left = contracted(found, grid, "levels", tile)
+        found = left = shared_checkpoint(left)
+    else:
+        found = found if kept else shared_checkpoint(found.select(*COLUMNS))
+        left, tree = _unmerged(found)
     levels = [r[0] for r in found.select("alpha").distinct().orderBy("alpha").limit(most + 1).collect()]
     if len(levels) > most:
         levels = [*sorted(set(found.approxQuantile("alpha", [k / bins for k in range(1, bins)], 0.25 / bins))), None]
-    left, tree = _unmerged(found)
     for level in levels:
         left, tree = _merged(left, tree, level, tail=tail)
-    return shared_checkpoint(tree)
+    return tree if large else shared_checkpoint(tree)
 
 
 def redundant(found: DataFrame, parts: int, grid: Grid) -> DataFrame:

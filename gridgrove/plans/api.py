@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from gridgrove.functions.scalar import check_connectivity
 from gridgrove.operators.binned import BIN, build_in_bins
 from gridgrove.operators.edges import edges
-from gridgrove.operators.lineage import shared_checkpoint
+from gridgrove.operators.contract import TILE
+from gridgrove.operators.lineage import shared_checkpoint, shared_table
+from gridgrove.operators.tilewise import hierarchies_by_tile
 from gridgrove.operators.tree import COLUMNS, STRATEGIES, Hierarchy, build
 from gridgrove.sources.grid import Grid
 
@@ -74,15 +76,25 @@ def build_hierarchies(grid: Grid, algorithms: tuple[str, ...], connectivity: int
     Each algorithm finds its own edges and each image is built by itself; the edges' weights are computed once, and the builds' steps are shared jobs.
     """
     check_connectivity(connectivity)
-    parts = parts or max(16, grid.size // PART_PIXELS)
     found = shared_checkpoint(edges(grid, connectivity, metric).select(*COLUMNS))
 
     def image(k: int):
         return (F.col("image_id") * len(algorithms) + k).alias("image_id")
 
-    spanning = []
-    for k, algorithm in enumerate(algorithms):
-        own = STRATEGIES[_name(algorithm, grid.size > ONE_TASK)](found, grid, parts=parts, bins=bins, whole=False, kept=True)
-        spanning.append(own.select(image(k), *COLUMNS[1:]))
+    spanning = [own.select(image(k), *COLUMNS[1:]) for k, own in enumerate(_spanning(found, grid, algorithms, parts or max(16, grid.size // PART_PIXELS), bins))]
     pixels = grid.pixels.withColumn("image_id", F.explode(F.array(*(image(k) for k in range(len(algorithms))))))
     return _built(Grid(pixels, grid.height, grid.width, grid.channels, grid.bits), reduce(DataFrame.union, spanning), bin_edges, keep_leaves=False)
+
+
+def _spanning(found: DataFrame, grid: Grid, algorithms: tuple[str, ...], parts: int, bins: int, **sizes) -> list[DataFrame]:
+    return [STRATEGIES[_name(a, grid.size > ONE_TASK)](found, grid, parts=parts, bins=bins, whole=False, kept=True, **sizes).select(*COLUMNS) for a in algorithms]
+
+
+def named_hierarchies(grid: Grid, algorithms: tuple[str, ...], connectivity: int = 4, metric: str | None = "L2", bins: int = 8, tile: int = TILE) -> DataFrame:
+    """The nodes that each of several algorithms' edges make of the same images, without numbers: see `hierarchies_by_tile`. Bit k of `who` stands for the k-th.
+
+    No task holds more than a tile of about `tile` pixels, or a bin of the edges that tiles leave.
+    """
+    check_connectivity(connectivity)
+    found = shared_table(edges(grid, connectivity, metric).select(*COLUMNS))
+    return hierarchies_by_tile(grid, _spanning(found, grid, algorithms, max(4, grid.size // tile), bins, tile=tile), tile)

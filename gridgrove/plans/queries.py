@@ -9,7 +9,7 @@ from gridgrove.functions import scalar as S
 from gridgrove.operators import edges as E
 from gridgrove.operators import query as Q
 from gridgrove.operators import tree as T
-from gridgrove.plans.api import PART_PIXELS, build_hierarchies, build_hierarchy
+from gridgrove.plans.api import PART_PIXELS, build_hierarchy, named_hierarchies
 from gridgrove.sources.grid import Grid, embeddings_grid, random_grid
 
 LEVEL = 1.0
@@ -134,10 +134,9 @@ def mst_edges(spark, sf_dir, of=_grid):
 def strategies_agree(spark, sf_dir, of=_grid):
     """How many nodes of each strategy the others don't have: none."""
     names = ("kruskal", "tiled", "rank_bins", "boruvka", "levels")
-    nodes = build_hierarchies(of(spark, sf_dir), names, 8, bins=4).nodes
-    which = F.col("image_id") % len(names)
-    rest = [c for c in nodes.columns if c != "image_id"]
-    apart = nodes.groupBy(F.expr(f"image_id div {len(names)}").alias("image"), *rest).agg(*(F.count_if(which == k).alias(name) for k, name in enumerate(names)))
+    nodes = named_hierarchies(of(spark, sf_dir), names, 8, bins=4)
+    held = (F.sum(F.shiftrightunsigned("who", k).bitwiseAND(F.lit(1))).alias(name) for k, name in enumerate(names))
+    apart = nodes.groupBy(*(c for c in nodes.columns if c != "who")).agg(*held)
     sums = apart.agg(*(F.coalesce(F.sum(F.abs(F.col(name) - F.col(names[0]))), F.lit(0)).alias(name) for name in names[1:]))
     return sums.select(F.inline(F.array(*(F.struct(F.lit(name).alias("strategy"), F.col(name).alias("mismatches")) for name in names[1:]))))
 
