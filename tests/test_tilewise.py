@@ -87,7 +87,7 @@ def test_tiles_of_several_images_with_missing_pixels(spark):
 
 
 def test_no_task_gets_a_whole_image(spark, tmp_path, monkeypatch):
-    """Rows of the largest group that a task gets, on an image of 204,800 pixels and 814,400 edges."""
+    """Rows of the largest group that a task gets, on an image of 204,800 pixels and 809,410 edges."""
     image = np.random.default_rng(3).integers(0, 256, (3200, 64))
     pd.DataFrame({"vec_id": np.arange(3200), "embedding": list(image / 256 - 0.5)}).to_parquet(tmp_path / "embeddings.parquet")
     largest, given = [], GroupedData.applyInPandas
